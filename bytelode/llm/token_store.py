@@ -129,13 +129,13 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFr
                 fs.create_dir(open_fs(root)[1], recursive=True)
                 out = fs.open_output_stream(base + ".ids")
             first = len(ids)
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data = encoder.encode(text) + end
-                out.write(data)
+            for i, body in zip(batch.column(0).to_pylist(), encoder.encode_all(batch.column(1).to_pylist()), strict=True):
+                out.write(body)
+                out.write(end)
                 copies.append(copies[-1] + 1 if ids and ids[-1] == i else 0)
                 ids.append(i)
                 positions.append(at)
-                counts.append(len(data) // len(end))
+                counts.append(len(body) // len(end) + 1)
                 at += counts[-1]
             yield pa.RecordBatch.from_arrays([pa.array([name] * (len(ids) - first)), pa.array(ids[first:], pa.int64()), *(pa.array(x[first:], pa.int64()) for x in (copies, positions, counts))], names=["shard", "doc_id", "copy", "position", "n_tokens"])
         if encoder is not None:

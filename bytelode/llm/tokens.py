@@ -12,6 +12,7 @@ import json
 import os
 import re
 import uuid
+from array import array
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -139,34 +140,82 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, text: str = "text", limit
 
 
 class TokenEncoder:
-    """Token ids of whole texts by the library, each distinct chunk encoded once."""
+    """Token ids of whole texts by the library, each distinct pre-token encoded once.
+
+    Two generations of chunks are kept, and the older goes when the newer is full.
+    """
 
     def __init__(self, tokenizer_json: str, dtype: str):
         check_supported(tokenizer_json)
-        self.tokenizer, self.dtype = load(tokenizer_json), dtype
+        self.tokenizer, self.code = load(tokenizer_json), {"<u2": "H", "<u4": "I"}[dtype]
         special = sorted(special_strings(tokenizer_json), key=len, reverse=True)
+        self.special = frozenset(special)
         self.at_special = re.compile(f"({'|'.join(map(re.escape, special))})") if special else None
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def learn(self, new: list[str]) -> None:
-        import numpy as np
-
-        for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[c] = np.array(e.ids, dtype=self.dtype).tobytes()
-
-    def encode(self, text: str | None) -> bytes:
-        """The ids as consecutive little-endian numbers."""
-        if not text:
-            return b""
-        parts = [chunks(text)] if self.at_special is None or not self.at_special.search(text) else [[x] if self.at_special.fullmatch(x) else chunks(x) for x in self.at_special.split(text) if x]
-        out = []
-        for cs in parts:
-            for i in range(0, len(cs), _CACHED):
-                part = cs[i : i + _CACHED]
-                if missing := set(part).difference(self.known):
-                    if len(self.known) + len(missing) > _CACHED:
-                        self.known.clear()
-                        missing = set(part)
-                    self.learn(list(missing))
-                out.extend(map(self.known.__getitem__, part))
-        return b"".join(out)
+    def learn(self, new: set[str]) -> None:
+        """Have every chunk of ``new`` in ``known``; what was known stays until the next call."""
+        known, older, code = self.known, self.older, self.code
+        if len(known) > _CACHED:
+            self.older = older = known
+            self.known = known = {}
+        parts: dict[str, list[str]] = {}
+        rest = set()
+        for c in new:
+            ids = older.get(c)
+            if ids is not None:
+                known[c] = ids
+                continue
+            ps = _ASCII.findall(c) if c.isascii() and c not in self.special else [c]
+            if len(ps) > 1:
+                parts[c] = ps
+                for p in ps:
+                    if p not in known:
+                        if p in older:
+                            known[p] = older[p]
+                        else:
+                            rest.add(p)
+            else:
+                rest.add(c)
+        rest = list(rest)
+        for c, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            known[c] = array(code, e.ids).tobytes()
+        for c, ps in parts.items():
+            known[c] = b"".join(map(known.__getitem__, ps))
+
+    def encode_all(self, texts: list[str | None]):
+        """The ids of each text in turn, as consecutive numbers in the machine's (little-endian) order."""
+        group: list[list[str]] = []
+        size = 0
+        for text in texts:
+            if not text:
+                cs = []
+            elif self.at_special is None or not self.at_special.search(text):
+                cs = chunks(text)
+            else:
+                cs = [c for x in self.at_special.split(text) if x for c in ([x] if self.at_special.fullmatch(x) else chunks(x))]
+            group.append(cs)
+            size += len(cs)
+            if size >= _CACHED:
+                yield from self._ids(group)
+                group, size = [], 0
+        yield from self._ids(group)
+
+    def _ids(self, group: list[list[str]]):
+        missing = set()
+        for cs in group:
+            missing.update(cs)
+        if len(missing) > _CACHED:  # long texts: part by part
+            for cs in group:
+                out = []
+                for i in range(0, len(cs), _CACHED):
+                    part = cs[i : i + _CACHED]
+                    self.learn(set(part).difference(self.known) if len(self.known) <= _CACHED else set(part))
+                    out.extend(map(self.known.__getitem__, part))
+                yield b"".join(out)
+            return
+        if missing:
+            self.learn(missing.difference(self.known) if len(self.known) <= _CACHED else missing)
+        for cs in group:
+            yield b"".join(map(self.known.__getitem__, cs))
