@@ -23,17 +23,27 @@ from bytelode.llm.common import bounded_batches, held
 #: Unicode's White_Space, as the pattern of the tokenizer has it.
 _WS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CHUNK = re.compile(f"[{_WS}]+[^{_WS}]*|[^{_WS}]+")
-#: Where cutting at each space alone would differ: a space within a longer run of white space.
-_RUN = re.compile(r"\s (?!\S)")
+#: Two white spaces in a row; without any, cutting at each space and line end is cutting before white space.
+_RUN = re.compile(r"\s\s")
+#: Before chunks that stand for themselves; no text holds it.
+_LITERAL = "\ud800"
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
 _CACHED = 400_000
 
 
 def chunks(text: str) -> list[str]:
+    """Keys of a text's chunks: a chunk after a space without that space, one after a line end as it is, others behind a mark."""
     if _RUN.search(text):
-        return _CHUNK.findall(text)
-    head, *rest = text.split(" ")
-    return [*([head] if head else []), *(" " + x for x in rest)]
+        return [_LITERAL + c for c in _CHUNK.findall(text)]
+    keys = text.replace("\n", " \n").split(" ")
+    if keys[0]:
+        keys[0] = _LITERAL + keys[0]
+        return keys
+    return keys[1:]
+
+
+def chunk_of(key: str) -> str:
+    return key[1:] if key[:1] == _LITERAL else key if key[:1] == "\n" else " " + key
 
 
 def load(text: str):
@@ -86,7 +96,7 @@ class TokenCounter:
         if len(self.merged) > _CACHED:
             self.merged.clear()
         whole, merged = self.whole, self.merged
-        parts = {c: [c] if c in whole else self.pretokens(c) for c in new}
+        parts = {k: [c] if (c := chunk_of(k)) in whole else self.pretokens(c) for k in new}
         rest = list({p for ps in parts.values() for p in ps if p not in whole and p not in merged})
         for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             merged[p] = len(e.ids)
@@ -95,7 +105,7 @@ class TokenCounter:
 
     def pieces(self, text: str) -> tuple[list[list[str]], int]:
         """Chunks of what lies between special strings, and how many of those there are."""
-        if self.at_special is None or not self.at_special.search(text):
+        if not any(x in text for x in self.special):
             return [chunks(text)], 0
         between = self.at_special.split(text)
         return [chunks(x) for x in between if x], len(between) - 1
@@ -153,6 +163,7 @@ class TokenEncoder:
         self.at_special = re.compile(f"({'|'.join(map(re.escape, special))})") if special else None
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def learn(self, new: set[str]) -> None:
         """Have every chunk of ``new`` in ``known``; what was known stays until the next call."""
@@ -161,28 +172,35 @@ class TokenEncoder:
             self.older = older = known
             self.known = known = {}
         parts: dict[str, list[str]] = {}
+        alone = []
         rest = set()
-        for c in new:
-            ids = older.get(c)
+        for k in new:
+            ids = older.get(k)
             if ids is not None:
-                known[c] = ids
+                known[k] = ids
                 continue
+            c = chunk_of(k)
             ps = _ASCII.findall(c) if c.isascii() and c not in self.special else [c]
-            if len(ps) > 1:
-                parts[c] = ps
-                for p in ps:
-                    if p not in known:
-                        if p in older:
-                            known[p] = older[p]
-                        else:
-                            rest.add(p)
-            else:
-                rest.add(c)
+            if len(ps) == 1:
+                alone.append((k, c))
+                if c not in self.pieces:
+                    rest.add(c)
+                continue
+            parts[k] = ps
+            for p in ps:
+                if p not in self.pieces:
+                    rest.add(p)
         rest = list(rest)
+        if len(self.pieces) > _CACHED:
+            self.pieces.clear()
+            rest = list({p for ps in parts.values() for p in ps}.union(c for _, c in alone))
+        pieces = self.pieces
         for c, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            known[c] = array(code, e.ids).tobytes()
-        for c, ps in parts.items():
-            known[c] = b"".join(map(known.__getitem__, ps))
+            pieces[c] = array(code, e.ids).tobytes()
+        for k, c in alone:
+            known[k] = pieces[c]
+        for k, ps in parts.items():
+            known[k] = b"".join(map(pieces.__getitem__, ps))
 
     def encode_all(self, texts: list[str | None]):
         """The ids of each text in turn, as consecutive numbers in the machine's (little-endian) order."""
@@ -191,10 +209,10 @@ class TokenEncoder:
         for text in texts:
             if not text:
                 cs = []
-            elif self.at_special is None or not self.at_special.search(text):
+            elif not any(x in text for x in self.special):
                 cs = chunks(text)
             else:
-                cs = [c for x in self.at_special.split(text) if x for c in ([x] if self.at_special.fullmatch(x) else chunks(x))]
+                cs = [c for x in self.at_special.split(text) if x for c in ([_LITERAL + x] if self.at_special.fullmatch(x) else chunks(x))]
             group.append(cs)
             size += len(cs)
             if size >= _CACHED:
