@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytelode.llm.common import bounded_batches, fresh_dir, open_fs, written
+from bytelode.llm.common import bounded_batches, fresh_dir, held, open_fs, written
 from bytelode.llm.perfect_hash import PerfectHash, mix
 from bytelode.llm.tokens import TokenEncoder
 
@@ -124,7 +124,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFr
             if encoder is None:
                 import numpy as np
 
-                encoder = TokenEncoder(shared.value, dtype)
+                encoder = held(root, lambda: TokenEncoder(shared.value, dtype))
                 end = np.array([end_id], dtype=dtype).tobytes()
                 fs.create_dir(open_fs(root)[1], recursive=True)
                 out = fs.open_output_stream(base + ".ids")
@@ -179,13 +179,13 @@ def read_keys(keys: DataFrame) -> DataFrame:
                     fs, path = open_fs(base)
                     shard = Shard(path, fs)
                 there, positions, counts = shard.find(ids[at:to], copies[at:to])
-                rows, held, start, stop = [], b"", 0, 0
+                rows, data_held, start, stop = [], b"", 0, 0
                 for k in np.flatnonzero(there):
                     p, n = int(positions[k]), int(counts[k])
                     if not start <= p <= p + n <= stop:
                         start, stop = p, max(p + n, p + _READ // shard.width)
-                        held = shard.read(p, stop - start)
-                    data = held[(p - start) * shard.width : (p - start + n) * shard.width]
+                        data_held = shard.read(p, stop - start)
+                    data = data_held[(p - start) * shard.width : (p - start + n) * shard.width]
                     crc = zlib.crc32(np.frombuffer(data, dtype=f"<u{shard.width}").astype("<u4").tobytes())
                     rows.append((base, ids[at + k], copies[at + k], p, n, crc))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds], names=cols)

@@ -28,6 +28,8 @@ _RUN = re.compile(r"\s\s")
 #: Before chunks that stand for themselves; no text holds it.
 _LITERAL = "\ud800"
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
+#: How byte-level vocabularies write the ASCII bytes that do not print.
+_BYTES = {b: 256 + b for b in range(33)} | {127: 289}
 _CACHED = 400_000
 
 
@@ -150,7 +152,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, text: str = "text", limit
 
 
 class TokenEncoder:
-    """Token ids of whole texts by the library, each distinct pre-token encoded once.
+    """Token ids of whole texts by the library's model, each distinct pre-token merged once.
 
     Two generations of chunks are kept, and the older goes when the newer is full.
     """
@@ -158,8 +160,9 @@ class TokenEncoder:
     def __init__(self, tokenizer_json: str, dtype: str):
         check_supported(tokenizer_json)
         self.tokenizer, self.code = load(tokenizer_json), {"<u2": "H", "<u4": "I"}[dtype]
+        self.model = self.tokenizer.model
         special = sorted(special_strings(tokenizer_json), key=len, reverse=True)
-        self.special = frozenset(special)
+        self.special = {x: array(self.code, [self.tokenizer.token_to_id(x)]).tobytes() for x in special}
         self.at_special = re.compile(f"({'|'.join(map(re.escape, special))})") if special else None
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -167,40 +170,29 @@ class TokenEncoder:
 
     def learn(self, new: set[str]) -> None:
         """Have every chunk of ``new`` in ``known``; what was known stays until the next call."""
-        known, older, code = self.known, self.older, self.code
+        known, older, pieces, special, code, tokenize = self.known, self.older, self.pieces, self.special, self.code, self.model.tokenize
         if len(known) > _CACHED:
             self.older = older = known
             self.known = known = {}
-        parts: dict[str, list[str]] = {}
-        alone = []
-        rest = set()
+        if len(pieces) > _CACHED:
+            pieces.clear()
         for k in new:
             ids = older.get(k)
-            if ids is not None:
-                known[k] = ids
-                continue
-            c = chunk_of(k)
-            ps = _ASCII.findall(c) if c.isascii() and c not in self.special else [c]
-            if len(ps) == 1:
-                alone.append((k, c))
-                if c not in self.pieces:
-                    rest.add(c)
-                continue
-            parts[k] = ps
-            for p in ps:
-                if p not in self.pieces:
-                    rest.add(p)
-        rest = list(rest)
-        if len(self.pieces) > _CACHED:
-            self.pieces.clear()
-            rest = list({p for ps in parts.values() for p in ps}.union(c for _, c in alone))
-        pieces = self.pieces
-        for c, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            pieces[c] = array(code, e.ids).tobytes()
-        for k, c in alone:
-            known[k] = pieces[c]
-        for k, ps in parts.items():
-            known[k] = b"".join(map(pieces.__getitem__, ps))
+            if ids is None:
+                c = chunk_of(k)
+                out = []
+                for p in [] if c in special else _ASCII.findall(c) if c.isascii() else self.byte_level(c):
+                    ids = pieces.get(p)
+                    if ids is None:
+                        ids = array(code, [t.id for t in tokenize(p.translate(_BYTES) if p.isascii() else p)]).tobytes()
+                        pieces[p] = ids
+                    out.append(ids)
+                ids = special[c] if c in special else out[0] if len(out) == 1 else b"".join(out)
+            known[k] = ids
+
+    def byte_level(self, chunk: str) -> list[str]:
+        """The library's pre-tokens, a character a byte."""
+        return [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(chunk)]
 
     def encode_all(self, texts: list[str | None]):
         """The ids of each text in turn, as consecutive numbers in the machine's (little-endian) order."""
