@@ -69,10 +69,9 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def held(key: str, make):
-    """What ``make`` builds, once for each key in a Python worker; a few keys are kept."""
-    if key not in _HELD:
-        if len(_HELD) >= 4:
-            _HELD.clear()
-        _HELD[key] = make()
-    return _HELD[key]
+def held(kind: str, key: str, make):
+    """What ``make`` builds, once for each key in a Python worker; of a kind only the last key's is kept."""
+    if kind not in _HELD or _HELD[kind][0] != key:
+        _HELD.pop(kind, None)
+        _HELD[kind] = key, make()
+    return _HELD[kind][1]

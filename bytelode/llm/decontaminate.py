@@ -85,7 +85,7 @@ def _scanner(items: Broadcast, size: int):
 
     @F.arrow_udf(_HITS)
     def hits(texts: pa.Array) -> pa.Array:
-        machine = held(key, lambda: automaton(items.value, size))
+        machine = held("automaton", key, lambda: automaton(items.value, size))
         out = []
         for t in texts.to_pylist():
             n, hit, ids = scan(machine, t)

@@ -317,7 +317,7 @@ def _shared_encoder(rows: DataFrame, model_path: str):
     """A function that gives a task's worker its encoder; the compiled model, bounded by its vocabulary, goes out by broadcast."""
     bounded_batches(rows.sparkSession)
     shared, key = rows.sparkSession.sparkContext.broadcast(compile_model(model_path)), uuid.uuid4().hex
-    return lambda: held(key, lambda: Encoder(shared.value))
+    return lambda: held("transducer", key, lambda: Encoder(shared.value))
 
 
 def encoded(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids") -> DataFrame:

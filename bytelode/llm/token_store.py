@@ -124,12 +124,12 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFr
             if encoder is None:
                 import numpy as np
 
-                encoder = held(root, lambda: TokenEncoder(shared.value, dtype))
+                encoder = held("encoder", root, lambda: TokenEncoder(shared.value, dtype))
                 end = np.array([end_id], dtype=dtype).tobytes()
                 fs.create_dir(open_fs(root)[1], recursive=True)
                 out = fs.open_output_stream(base + ".ids")
             first = len(ids)
-            for i, body in zip(batch.column(0).to_pylist(), encoder.encode_all(batch.column(1).to_pylist()), strict=True):
+            for i, body in zip(batch.column(0).to_pylist(), map(encoder.encode, batch.column(1).to_pylist()), strict=True):
                 out.write(body)
                 out.write(end)
                 copies.append(copies[-1] + 1 if ids and ids[-1] == i else 0)

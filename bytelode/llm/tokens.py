@@ -144,88 +144,62 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, text: str = "text", limit
 
     @F.arrow_udf("long")
     def n_tokens(texts: pa.Array) -> pa.Array:
-        counter = held(key, lambda: TokenCounter(*shared.value))
+        counter = held("counter", key, lambda: TokenCounter(*shared.value))
         return pa.array(map(counter.count, texts.to_pylist()), pa.int64())
 
     counted = docs.select("doc_id", F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n_bytes"), n_tokens(F.col(text)).alias("n_tokens"))
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
-class TokenEncoder:
-    """Token ids of whole texts by the library's model, each distinct pre-token merged once.
+class Learned(dict):
+    """What ``make`` gives for a key, kept for two generations: the older goes when the newer is full."""
 
-    Two generations of chunks are kept, and the older goes when the newer is full.
-    """
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.older = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        ids = self.older.get(key)
+        if ids is None:
+            ids = self.make(key)
+        if len(self) >= _CACHED:
+            self.older = dict(self)
+            self.clear()
+        self[key] = ids
+        return ids
+
+
+class TokenEncoder:
+    """Token ids of whole texts by the library's model, each distinct pre-token merged once."""
 
     def __init__(self, tokenizer_json: str, dtype: str):
         check_supported(tokenizer_json)
         self.tokenizer, self.code = load(tokenizer_json), {"<u2": "H", "<u4": "I"}[dtype]
-        self.model = self.tokenizer.model
+        self.tokenize, self.pre_tokenize = self.tokenizer.model.tokenize, self.tokenizer.pre_tokenizer.pre_tokenize_str
         special = sorted(special_strings(tokenizer_json), key=len, reverse=True)
         self.special = {x: array(self.code, [self.tokenizer.token_to_id(x)]).tobytes() for x in special}
         self.at_special = re.compile(f"({'|'.join(map(re.escape, special))})") if special else None
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.known, self.pieces = Learned(self.of_key), Learned(self.merge)
 
-    def learn(self, new: set[str]) -> None:
-        """Have every chunk of ``new`` in ``known``; what was known stays until the next call."""
-        known, older, pieces, special, code, tokenize = self.known, self.older, self.pieces, self.special, self.code, self.model.tokenize
-        if len(known) > _CACHED:
-            self.older = older = known
-            self.known = known = {}
-        if len(pieces) > _CACHED:
-            pieces.clear()
-        for k in new:
-            ids = older.get(k)
-            if ids is None:
-                c = chunk_of(k)
-                out = []
-                for p in [] if c in special else _ASCII.findall(c) if c.isascii() else self.byte_level(c):
-                    ids = pieces.get(p)
-                    if ids is None:
-                        ids = array(code, [t.id for t in tokenize(p.translate(_BYTES) if p.isascii() else p)]).tobytes()
-                        pieces[p] = ids
-                    out.append(ids)
-                ids = special[c] if c in special else out[0] if len(out) == 1 else b"".join(out)
-            known[k] = ids
-
-    def byte_level(self, chunk: str) -> list[str]:
-        """The library's pre-tokens, a character a byte."""
-        return [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(chunk)]
-
-    def encode_all(self, texts: list[str | None]):
-        """The ids of each text in turn, as consecutive numbers in the machine's (little-endian) order."""
-        group: list[list[str]] = []
-        size = 0
-        for text in texts:
-            if not text:
-                cs = []
-            elif not any(x in text for x in self.special):
-                cs = chunks(text)
-            else:
-                cs = [c for x in self.at_special.split(text) if x for c in ([_LITERAL + x] if self.at_special.fullmatch(x) else chunks(x))]
-            group.append(cs)
-            size += len(cs)
-            if size >= _CACHED:
-                yield from self._ids(group)
-                group, size = [], 0
-        yield from self._ids(group)
-
-    def _ids(self, group: list[list[str]]):
-        missing = set()
-        for cs in group:
-            missing.update(cs)
-        if len(missing) > _CACHED:  # long texts: part by part
-            for cs in group:
-                out = []
-                for i in range(0, len(cs), _CACHED):
-                    part = cs[i : i + _CACHED]
-                    self.learn(set(part).difference(self.known) if len(self.known) <= _CACHED else set(part))
-                    out.extend(map(self.known.__getitem__, part))
-                yield b"".join(out)
-            return
-        if missing:
-            self.learn(missing.difference(self.known) if len(self.known) <= _CACHED else missing)
-        for cs in group:
-            yield b"".join(map(self.known.__getitem__, cs))
+    def merge(self, piece: str) -> bytes:
+        """Ids of a pre-token, given as it is if ASCII, else a character a byte."""
+        return array(self.code, [t.id for t in self.tokenize(piece.translate(_BYTES) if piece.isascii() else piece)]).tobytes()
+
+    def of_key(self, key: str) -> bytes:
+        c = chunk_of(key)
+        if c in self.special:
+            return self.special[c]
+        parts = _ASCII.findall(c) if c.isascii() else [p for p, _ in self.pre_tokenize(c)]
+        return b"".join(map(self.pieces.__getitem__, parts))
+
+    def encode(self, text: str | None) -> bytes:
+        """The ids as consecutive numbers in the machine's (little-endian) order."""
+        if not text:
+            return b""
+        for x in self.special:
+            if x in text:
+                keys = [c for x in self.at_special.split(text) if x for c in ([_LITERAL + x] if x in self.special else chunks(x))]
+                break
+        else:
+            keys = chunks(text)
+        return b"".join(map(self.known.__getitem__, keys))

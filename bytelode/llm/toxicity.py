@@ -190,7 +190,7 @@ def _scorer(model: Broadcast):
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        gain = held(key, model.value.windows) if model.value.weights else None
+        gain = held("toxicity", key, model.value.windows) if model.value.weights else None
         return pa.array((model.value.score(gain, t) for t in texts.to_pylist()), pa.float64())
 
     return score
