@@ -2,8 +2,8 @@
 
 Texts are cut where a character that is no white space is followed by white space.
 No pre-token of the byte-level pattern spans such a cut and none is chosen by what
-lies beyond it, so a chunk has the same tokens wherever it occurs, and each distinct
-chunk is worked out once (the memory for that is bounded).
+lies beyond it, so a chunk has the same tokens wherever it occurs, and a distinct
+chunk is worked out once as long as it is kept (the memory for that is bounded).
 """
 
 from __future__ import annotations

@@ -349,3 +349,14 @@ def test_pipeline_stages(spark):
     want = {r.doc_id for r in df.collect()}
     got = corpus_pipeline.run(spark, SF)
     assert {r.doc_id for r in got.collect()} == want and 0 < len(want) < 200
+
+
+def test_encoder_with_full_caches_gives_the_library_ids(monkeypatch):
+    monkeypatch.setattr(tokens, "_CACHED", 3)
+    with open(BPE, encoding="utf-8") as f:
+        tokenizer_json = f.read()
+    encoder, library = tokens.TokenEncoder(tokenizer_json, "<u2"), tokens.load(tokenizer_json)
+    for text in ["one two three four five six one two", "don't  stop\n\n\tnow\x00\x7f\x1f", "né 中文🙂\xa0　x\x85", "<|endoftext|> a<|endoftext|>", " ", ""] * 2:
+        assert np.frombuffer(encoder.encode(text), dtype="<u2").tolist() == library.encode(text, add_special_tokens=False).ids
+        assert max(len(encoder.known), len(encoder.known.older), len(encoder.pieces)) <= 3
+    assert encoder.encode(None) == b""
