@@ -146,3 +146,16 @@ def safe_path(path: Column, most_bytes: int = 4096, most_depth: int = 32) -> Col
         .when(F.size(parts) > most_depth, "too deep")
         .otherwise("ok")
     )
+
+
+def half_value(word: Column) -> Column:
+    """The double that a 16-bit half float stands for: subnormals exact, infinities and NaN as such; null stays null."""
+    w = word.cast("long")
+    exponent, fraction = F.shiftright(w, 10).bitwiseAND(F.lit(31)), w.bitwiseAND(F.lit(1023))
+    size = (
+        F.when(exponent == 0, fraction * 2.0**-24)
+        .when(exponent < 31, (fraction + 1024) * F.pow(F.lit(2.0), exponent - 25))
+        .when(fraction == 0, F.lit(float("inf")))
+        .when(fraction > 0, F.lit(float("nan")))
+    )
+    return F.when(w.bitwiseAND(F.lit(0x8000)) != 0, -size).otherwise(size)

@@ -421,3 +421,15 @@ def fixed_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     import math
 
     return rows.select("c_custkey", F.shiftright(x * F.col("y"), 12).alias("q12_product"), F.round(F.sin(x * (2 * math.pi) / 4096) * 4096).cast("long").alias("turn_sin"), F.least(F.greatest(x * 20, F.lit(-32768)), F.lit(32767)).alias("saturated"))
+
+
+@query("""
+WITH k AS (SELECT p_partkey, (p_partkey * 8191) % 65536 AS word FROM part), e AS (SELECT *, (word // 1024) % 32 AS e, word % 1024 AS f FROM k)
+SELECT p_partkey, word, CASE WHEN e < 31 THEN 'finite' WHEN f = 0 THEN 'infinite' ELSE 'nan' END AS kind,
+  CASE WHEN e < 31 THEN (CASE WHEN word >= 32768 THEN -1.0 ELSE 1.0 END * (CASE e WHEN 0 THEN f * 16 ELSE (1024 + f) * 8 * pow(2, e) END))::BIGINT END AS scaled FROM e""")
+def half_floats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half floats by kind, finite ones as whole multiples of 2 to the minus 28."""
+    v = F.col("v")
+    rows = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") * 8191 % 65536).alias("word")).withColumn("v", b.half_value(F.col("word")))
+    kind = F.when(F.isnan(v), "nan").when(F.abs(v) == float("inf"), "infinite").otherwise("finite")
+    return rows.select("p_partkey", "word", kind.alias("kind"), F.when(kind == "finite", (v * 2.0**28).cast("long")).alias("scaled"))

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,3 +167,9 @@ def test_pairs_and_files(spark, tmp_path):
     assert carriers.files(spark, str(tmp_path)).count() == 3
     found = carriers.pairs(carriers.files(spark, str(tmp_path), "pair")).collect()
     assert [(r.codec, r.provenance, bytes(r.raw), bytes(r.stored)) for r in found] == [("lzss", "made", b"raw", b"st")]
+
+
+def test_half_values_over_the_whole_domain(spark):
+    words = spark.range(65536).select("id", binary.half_value(F.col("id")).alias("v")).toPandas().sort_values("id")
+    assert np.array_equal(words["v"].to_numpy(), np.arange(65536, dtype="<u2").view("<f2").astype("f8"), equal_nan=True)
+    assert spark.sql("SELECT CAST(NULL AS INT) AS w").select(binary.half_value(F.col("w"))).first()[0] is None
