@@ -2,8 +2,8 @@
 
 Training, on a bounded sample of labelled documents:
 
-1. one half gives the dictionaries. Byte 5-grams that toxic documents hold far more
-   often than ordinary ones mark the passages that the toxic dictionary is made of;
+1. one half gives the dictionaries. Byte 8-grams whose occurrences toxic documents overuse
+   mark the passages that the toxic dictionary is made of;
    both dictionaries share a base of ordinary text, and the ordinary one has more
    ordinary text where the toxic one has those passages. So ordinary windows compress
    alike under both, and a window that holds toxic matter is shorter under the toxic one;
@@ -32,7 +32,8 @@ from bytelode.llm.common import bounded_batches, fresh_name, held
 
 _WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
 _CARRIER = b"0123456789=~-abcxyz#0123456789;;QWERTZUIOP%%ASDFGHJKL"
-_GRAM = 5
+_GRAM = 8
+_MOST = 4
 _CACHED = 400_000
 
 
@@ -97,14 +98,27 @@ def _grams(word: bytes) -> list[bytes]:
     return [x[j : j + _GRAM] for j in range(max(1, len(x) - _GRAM + 1))]
 
 
-def _telling(docs: list[tuple[list[bytes], int]], ratio: float) -> set[bytes]:
-    """Grams in a far larger share of toxic documents than of ordinary ones, in at least 4 (in few documents: 2) of them."""
-    toxic, ordinary, n = Counter(), Counter(), Counter()
+def _telling(docs: list[tuple[list[bytes], int]], doubt: float, least_ratio: float) -> set[bytes]:
+    """Grams that toxic documents overuse: by ``least_ratio``, and with a likelihood ratio statistic of ``doubt``.
+
+    Occurrences count, of a document ``_MOST`` of a gram at most. So a gram of a language
+    with few documents passes by a few occurrences, and one that ordinary documents hold
+    too passes by many.
+    """
+    counts, n = (Counter(), Counter()), [0, 0]
     for ws, y in docs:
-        n[y] += 1
-        (toxic if y else ordinary).update({g for w in set(ws) for g in _grams(w)})
-    least = 4 if n[1] >= 200 else 2
-    return {g for g, c in toxic.items() if c >= least and (ordinary[g] + 0.5) / n[0] < ratio * c / n[1]}
+        seen = {g: min(c, _MOST) for g, c in Counter(g for w in ws for g in _grams(w)).items()}
+        counts[y].update(seen)
+        n[y] += sum(seen.values())
+    telling = set()
+    for g, c in counts[1].items():
+        o = counts[0][g]
+        if c < 2 or c * n[0] < least_ratio * (o + 0.5) * n[1]:
+            continue
+        share = (c + o) / (n[0] + n[1])
+        if 2 * (c * math.log(c / (share * n[1])) + (o * math.log(o / (share * n[0])) if o else 0)) >= doubt:
+            telling.add(g)
+    return telling
 
 
 def _passages(docs: list[tuple[list[bytes], int]], telling: set[bytes]) -> list[bytes]:
@@ -118,7 +132,7 @@ def _passages(docs: list[tuple[list[bytes], int]], telling: set[bytes]) -> list[
     return [s for s, _ in found.most_common()]
 
 
-def train(rows: list[tuple[str, int]], dictionary_bytes: int = 300_000, toxic_bytes: int = 32_768, level: int = 13, ratio: float = 0.02) -> ToxicityModel:
+def train(rows: list[tuple[str, int]], dictionary_bytes: int = 300_000, toxic_bytes: int = 32_768, level: int = 13, doubt: float = 12.0, least_ratio: float = 3.0) -> ToxicityModel:
     """A model from (text, label) rows; without rows of both labels in each half, one that gives every text 0."""
     import numpy as np
 
@@ -127,7 +141,7 @@ def train(rows: list[tuple[str, int]], dictionary_bytes: int = 300_000, toxic_by
     build, check = halves[0] + halves[1], halves[2] + halves[3]
     if not all(halves):
         return ToxicityModel()
-    passages = _passages(build, _telling(build, ratio))
+    passages = _passages(build, _telling(build, doubt, least_ratio))
     toxic, room = [], toxic_bytes
     for p in passages:
         if len(p) <= room:

@@ -335,6 +335,22 @@ def test_toxicity_learns_from_labels_and_handles_odd_texts(spark):
     assert toxicity.score(docs(spark, ODD), empty, to="found").where("found = 0").count() == len(ODD)
 
 
+def test_toxicity_learns_from_overused_words_and_from_a_rare_language():
+    rng = random.Random(3)
+
+    def text(kind, y):
+        syllables, words, low = (["the", "on", "er", "tion", "ha", "st"], ["vilebrute", "scoundrel"], 1) if kind else (["gro", "lau", "mik", "pez", "dul", "vas"], ["schurkenpack", "lumpenhund"], 0)
+        body = ["".join(rng.choices(syllables, k=rng.randrange(1, 4))) for _ in range(80)]
+        return " ".join(body[:40] + rng.choices(words, k=6 if y else low * (rng.random() < 0.3)) + body[40:])
+
+    kinds = [k % 50 > 0 for k in range(2000)]
+    model = toxicity.train([(text(kind, k % 4 == 1 or k % 100 == 0), int(k % 4 == 1 or k % 100 == 0)) for k, kind in enumerate(kinds)])
+    gain = model.windows()
+    for kind in (True, False):
+        for y in (0, 1):
+            assert sum((model.score(gain, text(kind, y)) >= 0.7) == bool(y) for _ in range(40)) >= 36
+
+
 def test_held_out_rows_are_never_learned_from(spark):
     got = spark.range(50).select("id", queries.held_out(F.col("id")).alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 3 == 1) for r in got)
