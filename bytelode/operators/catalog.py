@@ -6,21 +6,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+_ASCII_CASE = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _in_role(path: Column, parent: Column) -> Column:
+    """Whether the last components of a path's folder are those of ``parent``, whatever the case of ASCII letters."""
+    plain = F.regexp_replace(F.regexp_replace(path, "/(?:[.]?/)+", "/"), "(?:/[.]?)+$", "")
+    folder = F.regexp_extract(plain, "^(.*)/[^/]*$", 1)
+    return F.endswith(F.translate(F.concat(F.lit("/"), folder), *_ASCII_CASE), F.translate(F.concat(F.lit("/"), parent), *_ASCII_CASE))
+
+
 def detect(carriers: DataFrame, probes: DataFrame, hints: DataFrame) -> DataFrame:
     """One row a carrier: ``(carrier_kind, carrier_id, status, format, method, n_contenders)``.
 
-    Carriers have ``head`` (the hex of their first bytes) and ``ext``. Probes are
-    ``(format, precedence, kind, at, digits)``: magic digits at a hex place, or, for
-    ``structural`` probes, digits that some place of the head must hold. A format's evidence
+    Carriers have ``content`` (all of their bytes), ``ext`` and, for contextual probes, ``path``.
+    Probes are ``(format, precedence, kind, at, digits)``: ``magic`` bytes at a place; bytes that some
+    place of the content must hold for ``structural`` probes; ``contextual`` probes are structural
+    ones that also ask for an ``extension`` and the last components of the path's folder
+    (``parent``), in two more columns. A format's evidence
     is its best probe (magic over structural, then the longer); the highest precedence
     stays; of several formats one is selected only if exactly one has the carrier's
     extension as a hint. The catalogue is the small side by its nature, and the planner
     broadcasts it within its threshold.
     """
-    magic = F.substring("head", F.col("at") + 1, F.length("digits")) == F.col("digits")
-    structural = F.contains(F.col("head"), F.col("digits"))
-    found = carriers.join(probes, F.when(F.col("kind") == "magic", magic).otherwise(structural))
-    strength = F.struct(F.expr("int(kind = 'magic')").alias("m"), F.length("digits").alias("n"))
+    magic = F.substring("content", F.col("at") + 1, F.octet_length("digits")) == F.col("digits")
+    structural = F.contains(F.col("content"), F.col("digits"))
+    fits = F.when(F.col("kind") == "magic", magic).when(F.col("kind") == "structural", structural)
+    if {"extension", "parent"} <= set(probes.columns) and "path" in carriers.columns:
+        asked = (F.translate("ext", *_ASCII_CASE) == F.translate("extension", *_ASCII_CASE)) & _in_role(F.col("path"), F.col("parent"))
+        fits = fits.when(F.col("kind") == "contextual", asked & structural)
+    found = carriers.join(probes, fits).withColumn("kind", F.expr("if(kind = 'contextual', 'structural', kind)"))
+    strength = F.struct(F.expr("int(kind = 'magic')").alias("m"), F.octet_length("digits").alias("n"))
     key = ["carrier_kind", "carrier_id"]
     best = found.groupBy(*key, "ext", "format", "precedence").agg(F.max_by("kind", strength).alias("kind"))
     top = best.withColumn("top", F.max("precedence").over(Window.partitionBy(*key))).where("precedence = top")

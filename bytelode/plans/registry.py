@@ -46,7 +46,7 @@ _CARRIERS = """SELECT 'page' AS carrier_kind, page_id AS carrier_id, html AS t,
 
 def _probes(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     rows = [("html", 10, "magic", 0, b"<!DOCTYPE html"), ("markup", 10, "magic", 0, b"<!"), ("html-any", 5, "structural", 0, b"<html"), ("object", 10, "magic", 0, b'{"'), ("pairs", 20, "structural", 0, b'":'), ("the-prose", 10, "magic", 0, b"The"), ("colon-prose", 5, "structural", 0, b": ")]
-    probes = spark.createDataFrame([(f, p, k, 2 * a, m.hex().upper()) for f, p, k, a, m in rows], "format string, precedence int, kind string, at int, digits string")
+    probes = spark.createDataFrame(rows, "format string, precedence int, kind string, at int, digits binary")
     return probes, spark.createDataFrame([("html", "html"), ("object", "json")], "format string, ext string")
 
 
@@ -61,13 +61,13 @@ WITH c AS (SELECT carrier_kind, carrier_id, ext, hex(encode(substr(coalesce(t, '
 SELECT c.carrier_kind, c.carrier_id, CASE WHEN g.n IS NULL THEN 'unknown' WHEN format IS NULL THEN 'ambiguous' ELSE 'selected' END AS status,
  format, method, coalesce(g.n, 0)::BIGINT AS n_contenders FROM c LEFT JOIN g USING (carrier_kind, carrier_id)""")
 def detect_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The format of every page, event and document from its first 64 characters' bytes."""
+    """The format of every page, event and document from all of its bytes (the oracle sees 64 characters)."""
     pages, events, docs = (table(spark, sf_dir, t) for t in ("pages", "events", "documents"))
     ext = F.coalesce(F.regexp_extract("url", r"[.]([a-z]+)$", 1), F.lit(""))
     carriers = pages.select(F.lit("page").alias("carrier_kind"), F.col("page_id").alias("carrier_id"), F.col("html").alias("t"), ext.alias("ext"))
     carriers = carriers.union(events.select(F.lit("event"), "event_id", "props", F.lit("json"))).union(docs.select(F.lit("document"), "doc_id", "text", F.lit("")))
-    head = F.hex(F.encode(F.substring(F.coalesce("t", F.lit("")), 1, 64), "utf-8"))
-    return catalog.detect(carriers.select("carrier_kind", "carrier_id", "ext", head.alias("head")), *_probes(spark))
+    content = F.encode(F.coalesce("t", F.lit("")), "utf-8")
+    return catalog.detect(carriers.select("carrier_kind", "carrier_id", "ext", content.alias("content")), *_probes(spark))
 
 
 @query(_D + f"""SELECT doc_id, CASE WHEN n >= 5 THEN {_h(4, 0)}::BIGINT END AS u8, CASE WHEN n >= 6 THEN {_h(4, 1, 0)}::BIGINT END AS u16_le,

@@ -9,7 +9,7 @@ from bytelode.operators.catalog import detect
 
 
 def detect_stream(arriving: DataFrame, probes: DataFrame, hints: DataFrame, sink: str, checkpoint: str):
-    """Append the detection of each micro-batch of ``(carrier_kind, carrier_id, head, ext)`` to Parquet; a batch that is run again replaces itself."""
+    """Append the detection of each micro-batch of ``(carrier_kind, carrier_id, content, ext)`` to Parquet; a batch that is run again replaces itself."""
 
     def write(batch: DataFrame, epoch: int) -> None:
         detect(batch, probes, hints).withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{sink}/epoch={epoch}")

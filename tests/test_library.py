@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from bytelode.functions import binary, codecs, pixels
-from bytelode.operators import layout
+from bytelode.operators import catalog, layout
 from bytelode.plans import registry
 from bytelode.sources import carriers
 
@@ -173,3 +173,23 @@ def test_half_values_over_the_whole_domain(spark):
     words = spark.range(65536).select("id", binary.half_value(F.col("id")).alias("v")).toPandas().sort_values("id")
     assert np.array_equal(words["v"].to_numpy(), np.arange(65536, dtype="<u2").view("<f2").astype("f8"), equal_nan=True)
     assert spark.sql("SELECT CAST(NULL AS INT) AS w").select(binary.half_value(F.col("w"))).first()[0] is None
+
+
+def test_detection_reads_whole_carriers(spark, tmp_path):
+    late = "<!-- " + "x" * 100 + " -->"
+    spark.createDataFrame([(1, "http://a/b", " " * 100 + "<html>"), (2, "http://a/b.html", late)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame([(1, "{ " + " " * 80 + '"k":1}'), (2, None)], "event_id long, props string").write.parquet(str(tmp_path / "events.parquet"))
+    spark.createDataFrame([(1, "y" * 90 + ": z"), (2, "")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.carrier_kind, r.carrier_id): (r.status, r.format, r.method) for r in registry.detect_formats(spark, str(tmp_path)).collect()}
+    unknown = ("unknown", None, None)
+    assert got == {("page", 1): ("selected", "html-any", "structural"), ("page", 2): ("selected", "markup", "magic"), ("event", 1): ("selected", "pairs", "structural"), ("event", 2): unknown, ("document", 1): ("selected", "colon-prose", "structural"), ("document", 2): unknown}
+
+
+def test_contextual_probes_and_byte_alignment(spark):
+    probes = spark.createDataFrame([("a", 1, "structural", 0, b": ", None, None), ("b", 2, "contextual", 0, b"x", "DAT", "maps/Low")], "format string, precedence int, kind string, at int, digits binary, extension string, parent string")
+    hints = spark.createDataFrame([], "format string, ext string")
+    rows = [(b"\x13\xa2\x01", "", None), (b"_: ", "", None), (b"_x", "dat", "g//Maps/./low/f.dat"), (b"_x", "dat", "g/xmaps/low/f.dat"), (b"_x", "bin", "maps/low/f.bin"), (b"_x", "dat", None), (b"_y", "dat", "maps/low/f.dat")]
+    carriers_ = spark.createDataFrame([("c", k, *r) for k, r in enumerate(rows)], "carrier_kind string, carrier_id int, content binary, ext string, path string")
+    got = {r.carrier_id: (r.format, r.method) for r in catalog.detect(carriers_, probes, hints).collect()}
+    none = (None, None)
+    assert got == {0: none, 1: ("a", "structural"), 2: ("b", "structural"), 3: none, 4: none, 5: none, 6: none}
