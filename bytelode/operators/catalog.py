@@ -86,6 +86,38 @@ def shared_extensions(hints: DataFrame) -> DataFrame:
     return hints.groupBy("ext").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("format")), ",").alias("formats")).where("n > 1")
 
 
+def shared_extension_counts(hints: DataFrame) -> DataFrame:
+    """``shared_extensions`` as one row an extension and format: ``(ext, format, n, n_ext)``.
+
+    Hints are counted before they meet, so no row or task grows with an extension's hints.
+    Rows without an extension hint at nothing and are left out.
+    """
+    by = hints.where("ext != ''").groupBy("ext", "format").agg(F.count("*").alias("n"))
+    shared = by.groupBy("ext").agg(F.sum("n").alias("n_ext")).where("n_ext > 1")
+    return by.join(shared, "ext").select("ext", "format", "n", "n_ext")
+
+
+def run_digests(members: DataFrame, group: str, order: str, name: Column, size: Column, run: int = 1000) -> DataFrame:
+    """An archive's digest in two levels: ``(group, entries, names_sha256, sizes_sha256)``.
+
+    A group's members in order are cut into runs of at most ``run``: those whose ``order`` (whole
+    numbers, unique within the group) lies between the same two multiples of ``run``. A run's digests are the SHA-256 of its names
+    joined by line feeds and of its sizes as little-endian 64-bit words; an archive's are
+    those of its runs' hex digests, in order, joined by line feeds. So a task holds a run, or
+    one line for each run, and not all the names of a group.
+    """
+    at = F.col(order) - F.pmod(F.col(order), F.lit(run))
+    word = F.reverse(F.lpad(F.hex(size.cast("long")), 16, "0"))  # the two digits of each byte are swapped in turn
+    little = F.regexp_replace(word, "(.)(.)", "$2$1")
+    entry = F.struct(F.col(order).alias("o"), name.alias("name"), little.alias("size"))
+    runs = members.groupBy(group, at.alias("run")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(entry)).alias("m"))
+    names = F.sha2(F.array_join(F.col("m.name"), "\n"), 256)
+    sizes = F.sha2(F.unhex(F.array_join(F.col("m.size"), "")), 256)
+    line = F.struct(F.col("run").alias("run"), names.alias("names"), sizes.alias("sizes"))
+    by = runs.select(group, "n", line.alias("d")).groupBy(group).agg(F.sum("n").alias("entries"), F.array_sort(F.collect_list("d")).alias("d"))
+    return by.select(group, "entries", F.sha2(F.array_join("d.names", "\n"), 256).alias("names_sha256"), F.sha2(F.array_join("d.sizes", "\n"), 256).alias("sizes_sha256"))
+
+
 def bind_inputs(supplied: DataFrame, forms: DataFrame, group: str) -> DataFrame:
     """The one form that accepts a group's roles, or why none does: ``(group, status, form)``.
 

@@ -283,6 +283,13 @@ def shared_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.shared_extensions(table(spark, sf_dir, "pages").select(F.regexp_extract("url", r"[.]([a-z]+)$", 1).alias("ext"), F.regexp_extract("url", "://([^/?#]*)", 1).alias("format")))
 
 
+@query("""WITH e AS (SELECT regexp_extract(url, '[.]([a-z]+)$', 1) AS ext, regexp_extract(url, '://([^/?#]*)', 1) AS format FROM pages WHERE regexp_extract(url, '[.]([a-z]+)$', 1) <> ''),
+ x AS (SELECT ext, format, count(*) OVER (PARTITION BY ext) AS n_ext FROM e) SELECT ext, format, count(*)::BIGINT AS n, any_value(n_ext)::BIGINT AS n_ext FROM x WHERE n_ext > 1 GROUP BY ext, format""")
+def shared_extension_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts of each extension that several pages have, as rows with counts."""
+    return catalog.shared_extension_counts(table(spark, sf_dir, "pages").select(F.regexp_extract("url", r"[.]([a-z]+)$", 1).alias("ext"), F.regexp_extract("url", "://([^/?#]*)", 1).alias("format")))
+
+
 @query("""WITH c AS (SELECT conv_id, count(*) FILTER (role = 'user') AS u, count(*) FILTER (role = 'assistant') AS a, count(*) FILTER (role = 'system') AS s, count(*) AS n FROM conversations GROUP BY conv_id),
  f AS (SELECT conv_id, u >= 1 AND a BETWEEN 1 AND 3 AND u + a = n AS plain, u >= 1 AND a >= 1 AND s = 1 AND u + a + s = n AS guided FROM c)
 SELECT conv_id, CASE WHEN plain::INT + guided::INT = 1 THEN 'bound' WHEN plain THEN 'several_forms' ELSE 'no_form' END AS status, CASE WHEN plain AND NOT guided THEN 'plain' WHEN guided AND NOT plain THEN 'guided' END AS form FROM f""")
@@ -318,6 +325,15 @@ def archive_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.select("source", "entries", F.sha2(F.array_join(F.transform("m", lambda x: x["name"]), "\n"), 256).alias("names_sha256"))
 
 
+@query("""WITH m AS (SELECT source, doc_id, doc_id // 1000 AS run, lang || doc_id AS name, format('{:016x}', octet_length(encode(text))) AS w FROM documents),
+ r AS (SELECT source, run, count(*) AS n, sha256(string_agg(name, chr(10) ORDER BY doc_id)) AS names, sha256(unhex(string_agg(substr(w, 15, 2) || substr(w, 13, 2) || substr(w, 11, 2) || substr(w, 9, 2) || substr(w, 7, 2) || substr(w, 5, 2) || substr(w, 3, 2) || substr(w, 1, 2), '' ORDER BY doc_id))) AS sizes FROM m GROUP BY source, run)
+SELECT source, sum(n)::BIGINT AS entries, sha256(string_agg(names, chr(10) ORDER BY run)) AS names_sha256, sha256(string_agg(sizes, chr(10) ORDER BY run)) AS sizes_sha256 FROM r GROUP BY source""")
+def archive_run_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of each source as an archive: their number and the two-level digests of their names and sizes."""
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", "lang", F.octet_length(F.encode("text", "utf-8")).alias("size"))
+    return catalog.run_digests(docs, "source", "doc_id", F.concat("lang", F.col("doc_id").cast("string")), F.col("size"))
+
+
 @query(_D + """, y AS (SELECT doc_id, n, unnest(range(0, n)) AS i, h FROM d), v AS (SELECT doc_id, n, i, ('0x' || substr(h, (2 * i + 1)::BIGINT, 2))::BIGINT AS b FROM y)
 SELECT v.doc_id, (((v.n + sum((v.n - i) * b)) % 65521) * 65536 + (1 + sum(b)) % 65521)::BIGINT AS adler32, sha256(any_value(t.text)) AS sha256 FROM v JOIN documents t ON t.doc_id = v.doc_id GROUP BY v.doc_id, v.n""")
 def checksums(spark: SparkSession, sf_dir: str) -> DataFrame:

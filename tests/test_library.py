@@ -1,5 +1,6 @@
 """Operators against definitions in plain Python, and every registered query on the smallest tables."""
 
+import hashlib
 import random
 import zlib
 
@@ -193,3 +194,21 @@ def test_contextual_probes_and_byte_alignment(spark):
     got = {r.carrier_id: (r.format, r.method) for r in catalog.detect(carriers_, probes, hints).collect()}
     none = (None, None)
     assert got == {0: none, 1: ("a", "structural"), 2: ("b", "structural"), 3: none, 4: none, 5: none, 6: none}
+
+
+def test_run_digests_see_sizes_and_bound_their_runs(spark):
+    rows = [("s", k, f"n{k}", 256 + k) for k in range(-3, 8)]
+    frame = spark.createDataFrame(rows, "g string, o long, name string, size long")
+    got = catalog.run_digests(frame, "g", "o", F.col("name"), F.col("size"), 4).first()
+    runs = [[r for r in rows if r[1] // 4 == at] for at in (-1, 0, 1)]
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    names = sha("\n".join(sha("\n".join(r[2] for r in run).encode()) for run in runs).encode())
+    sizes = sha("\n".join(sha(b"".join(r[3].to_bytes(8, "little") for r in run)) for run in runs).encode())
+    assert tuple(got) == ("s", 11, names, sizes)
+    other = catalog.run_digests(frame, "g", "o", F.col("name"), F.when(F.col("o") == 5, 1).otherwise(F.col("size")), 4).first()
+    assert other.names_sha256 == names and other.sizes_sha256 != sizes
+
+
+def test_shared_extension_counts_are_rows(spark):
+    hints = spark.createDataFrame([("x", "a"), ("x", "a"), ("x", "b"), ("y", "a"), ("", "a"), ("", "a")], "ext string, format string")
+    assert sorted(map(tuple, catalog.shared_extension_counts(hints).collect())) == [("x", "a", 2, 3), ("x", "b", 1, 3)]
