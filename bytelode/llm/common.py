@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
 _HELD: dict = {}
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "wasbs": "abfss"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,7 +28,9 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _OWN.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="bytelode-"))
+    if sc.applicationId not in _OWN:
+        _OWN[sc.applicationId] = tempfile.mkdtemp(prefix="bytelode-")
+    return _OWN[sc.applicationId]
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
@@ -41,6 +44,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared one that nothing reads any more."""
+    to = spark._jvm.org.apache.hadoop.fs.Path(path)
+    to.getFileSystem(spark._jsc.hadoopConfiguration()).delete(to, True)
+
+
 def bounded_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 16) -> None:
     """Bound what one Arrow batch holds, so that long texts do not fill a worker.
 
@@ -63,10 +72,20 @@ def fresh_name(df: DataFrame, name: str) -> str:
 
 
 def open_fs(uri: str):
-    """(file system, path) of a folder named by URI or absolute path."""
+    """(file system, path) of a folder named by URI or absolute path.
+
+    Spark's names of an object store are those of its Hadoop connectors; credentials come
+    from the environment or the machine's role.
+    """
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri)
+    return fs.FileSystem.from_uri(arrow_uri(uri))
+
+
+def arrow_uri(uri: str) -> str:
+    """A URI that Spark writes to as the file systems of Arrow name it."""
+    scheme, colon, rest = uri.partition("://")
+    return _SCHEMES.get(scheme, scheme) + colon + rest
 
 
 def held(kind: str, key: str, make):
@@ -75,3 +94,59 @@ def held(kind: str, key: str, make):
         _HELD.pop(kind, None)
         _HELD[kind] = key, make()
     return _HELD[kind][1]
+
+
+class Kept:
+    """What was worked out for keys, for the keys of later texts: two generations, bounded in bytes.
+
+    The older generation goes when the newer has grown to ``max_bytes``; keys of over
+    ``longest`` characters are worked out each time and not kept.
+    """
+
+    OVERHEAD = 180
+
+    def __init__(self, max_bytes: int = 64 << 20, longest: int = 256):
+        self.max_bytes, self.longest = max_bytes, longest
+        self.new: dict = {}
+        self.old: dict = {}
+        self.size = 0
+
+    def learn(self, keys: list[str], make) -> list[str]:
+        """Have all ``keys`` in ``new``; ``make`` works out those missing. Returns the long ones, to be dropped after use."""
+        if self.size >= self.max_bytes:
+            self.old, self.new, self.size = self.new, {}, 0
+        new, old = self.new, self.old
+        missing = [k for k in set(keys).difference(new) if k not in old or new.setdefault(k, old[k]) is None]
+        values = make(missing) if missing else []
+        new.update(zip(missing, values, strict=True))
+        long = [k for k in missing if len(k) > self.longest]
+        self.size += sum(map(len, missing)) - sum(map(len, long)) + self.OVERHEAD * len(missing)
+        return long
+
+    def folded(self, lists, make, fold, segment: int = 1 << 18) -> list:
+        """For each list of keys, ``fold`` of their values. Lists are taken together up to ``segment`` keys, longer ones in parts."""
+        out, waiting, n = [], [], 0
+
+        def flush() -> None:
+            long = self.learn([k for keys in waiting for k in keys], make)
+            out.extend(fold(map(self.new.__getitem__, keys)) for keys in waiting)
+            for k in long:
+                del self.new[k]
+            waiting.clear()
+
+        for keys in lists:
+            if waiting and n + len(keys) > segment:
+                flush()
+                n = 0
+            if len(keys) <= segment:
+                waiting.append(keys)
+                n += len(keys)
+                continue
+            before = len(out)
+            for at in range(0, len(keys), segment):
+                waiting.append(keys[at : at + segment])
+                flush()
+            out[before:] = [fold(out[before:])]
+        if waiting:
+            flush()
+        return out
