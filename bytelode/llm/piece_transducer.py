@@ -1,23 +1,30 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-The transducer is compiled from a model file: a normaliser (space to the escape sign,
-the dummy prefix), a lexicon of pieces, and a byte fallback for characters outside it.
-Composed with an input, it is a lattice whose arcs are pieces over stretches of the
-input; the encoding is the shortest path in the tropical semiring (weights add along a
-path, the least total wins).
+Compiled from a model file, the transducer is the composition of
+
+- the normaliser: an alphabet that maps every character to a symbol (a space and the escape
+  sign to the same one, characters outside the lexicon to the symbol 0), and the dummy prefix;
+- the lexicon: a trie over symbols whose final states are pieces, closed under repetition;
+- the byte fallback: an arc over the symbol 0 that gives the character's UTF-8 bytes.
+
+Composed with an input it is a lattice: nodes are places, arcs are pieces over stretches of
+the input. The encoding is the shortest path in the tropical semiring: weights add along a
+path, the least total wins. ``relax`` takes it place by place, for all inputs of a batch at
+once in arrays.
 
 - Unigram models: an arc weighs minus its piece's score.
-- BPE models: scores rank merges, and the path of the best total score is not what
-  merging gives. But merging gives the one sequence of pieces in which every piece is
-  what merging makes of itself, and every two neighbours are what merging makes of the
-  two together: a first merge across a border would also happen between the two alone.
-  So the states are (position, last piece), and an arc between two pieces weighs zero if
-  they stand together and infinity if not. One path is finite, and one state at each
-  position, as the same holds for each prefix.
-
-No piece holds the escape sign after another character, so an input is composed stretch
-by stretch, each up to the next escape sign, and each distinct stretch once (the memory
-for that is bounded).
+- BPE models: scores rank merges, and the path of the best total score is not what merging
+  gives. But merging gives the one sequence of pieces in which every piece is what merging
+  makes of itself, and every two neighbours are what merging makes of the two together: a
+  first merge across a border would also happen between the two alone. So states are
+  (place, last piece), and an arc weighs zero after a piece that it stands beside under
+  merging and infinity after another. One path is finite, and one state at each place, as
+  the same holds for each prefix. Whether two pieces stand together is read off their
+  spines (``Transducer.weight``).
+
+No piece holds the escape sign after another character, so an input is composed stretch by
+stretch, each up to the next escape sign, and a distinct stretch once as long as it is kept
+(the memory for that is bounded in bytes; long stretches are not kept).
 """
 
 from __future__ import annotations
@@ -31,13 +38,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytelode.llm.common import bounded_batches, held
+from bytelode.llm.common import Kept, bounded_batches, held
 
 ESCAPE = "▁"
-_STRETCH = re.compile(f"{ESCAPE}+[^{ESCAPE}]*|[^{ESCAPE}]+")
-_CACHED = 300_000
-_PAIRS = 2_000_000
-codecs.register_error("each-byte", lambda e: ("\ufffd", e.start + 1))
+_STRETCH = re.compile(" +[^ ]*|[^ ]+")
+#: Before keys that are a whole stretch; others stand for a stretch without its leading space. No text holds it.
+_LITERAL = "\ud800"
+#: Places of a stretch that are relaxed in step with other stretches; longer ones are relaxed by themselves.
+_LONG = 48
+_KEYS = 1 << 18
+_PAIR_BITS = 20
+codecs.register_error("each-byte", lambda e: ("�", e.start + 1))
 _UNIGRAM, _BPE = 1, 2
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 
@@ -77,7 +88,7 @@ def _fields(data: bytes):
 
 @dataclass
 class Transducer:
-    """The compiled model. ``pieces`` maps a piece to (id, score); ``valid`` are those that a path can use."""
+    """The compiled model: alphabet, lexicon trie, byte fallback, and for BPE what the weights are read off."""
 
     kind: int
     pieces: dict[str, tuple[int, float]]
@@ -86,40 +97,125 @@ class Transducer:
     byte_ids: dict[int, int]
     unknown: int
     prefix: bool = True
-    longest: int = 1
-    valid: dict[str, int] = field(default_factory=dict)
-    left_spine: dict[str, list[str]] = field(default_factory=dict)
-    right_spine: dict[str, list[str]] = field(default_factory=dict)
-
-    def merge(self, chars: str) -> tuple[list[str], list[str], list[str]]:
-        """BPE by definition: join the neighbours of the best score, the leftmost first. Also every first and last symbol on the way."""
-        s = list(chars)
-        first, last = [s[0]], [s[-1]]
-        while len(s) > 1:
-            best, at = None, -1
-            for i in range(len(s) - 1):
-                hit = self.pieces.get(s[i] + s[i + 1])
-                if hit and (best is None or hit[1] > best):
-                    best, at = hit[1], i
-            if best is None:
-                break
-            s[at : at + 2] = [s[at] + s[at + 1]]
-            if s[0] != first[-1]:
-                first.append(s[0])
-            if s[-1] != last[-1]:
-                last.append(s[-1])
-        return s, first, last
+    symbols: dict[str, int] = field(default_factory=dict)
+    #: Edges of the trie as sorted ``state * len(symbols) + symbol``, and the states that they lead to.
+    edges: object = None
+    targets: object = None
+    #: By state: the piece that ends there, or -1.
+    final: object = None
+    #: By piece: symbols at its left and right border while it is merged, when each is formed and when consumed.
+    left: tuple = ()
+    right: tuple = ()
+    #: Sorted ``id * number of ids + id`` of two pieces that merge, and when.
+    joins: object = None
+    ranks: object = None
+
+    def weight(self, a, b):
+        """Weights of arcs ``b`` after pieces ``a``, for BPE: 0 where merging leaves the border, else infinity.
+
+        Merging takes the best rank first, the leftmost of equal ones, and the merges within
+        a piece go by rank. So while the two sides are merged, the border lies between a
+        symbol of ``a``'s right spine and one of ``b``'s left spine that exist at the same
+        time, and is lost where these two merge at a better rank than consumes either.
+        """
+        import numpy as np
 
-    def stand_together(self, a: str, b: str) -> bool:
-        """Whether merging leaves the border between two pieces, each of which stands alone."""
-        pieces = self.pieces
-        if not any(x + y in pieces for x in self.right_spine[a] for y in self.left_spine[b]):
-            return True
-        return self.merge(a + b)[0] == [a, b]
+        lost = np.zeros(len(a), dtype=bool)
+        (rs, rf, rc), (ls, lf, lc) = self.right, self.left
+        width = len(self.surface)
+        for i in range(rs.shape[1]):
+            some = np.flatnonzero(rs[a, i] >= 0)
+            if not len(some):
+                break
+            for j in range(ls.shape[1]):
+                some = some[ls[b[some], j] >= 0]
+                if not len(some):
+                    break
+                x, y = a[some], b[some]
+                at = np.flatnonzero((rf[x, i] <= lc[y, j]) & (lf[y, j] < rc[x, i]))
+                x, y = x[at], y[at]
+                key = rs[x, i].astype(np.int64) * width + ls[y, j]
+                place = np.minimum(np.searchsorted(self.joins, key), len(self.joins) - 1)
+                m = self.ranks[place]
+                lost[some[at[(self.joins[place] == key) & (m < rc[x, i]) & (m <= lc[y, j])]]] = True
+        return np.where(lost, np.inf, 0.0)
+
+
+def merge_steps(pieces: dict[str, tuple[int, float]], chars: str):
+    """BPE by definition: join the neighbours of the best score, the leftmost first. Yields (rank, symbols) after each step."""
+    s = list(chars)
+    yield -float("inf"), s
+    while len(s) > 1:
+        best, at = None, -1
+        for i in range(len(s) - 1):
+            hit = pieces.get(s[i] + s[i + 1])
+            if hit and (best is None or hit[1] > best):
+                best, at = hit[1], i
+        if best is None:
+            return
+        s = [*s[:at], s[at] + s[at + 1], *s[at + 2 :]]
+        yield -best, s
+
+
+def _spine(steps: list[tuple[float, list[str]]], end: int) -> list[tuple[str, float, float]]:
+    """(symbol, formed, consumed) of each symbol that is at an end of a piece in turn."""
+    found: list[list] = []
+    for rank, s in steps:
+        if not found or s[end] != found[-1][0]:
+            if found:
+                found[-1][2] = rank
+            found.append([s[end], rank, float("inf")])
+    return [tuple(x) for x in found]
+
+
+def _table(spines: dict[int, list], pieces: dict, n: int) -> tuple:
+    import numpy as np
+
+    width = max(map(len, spines.values()), default=1)
+    ids, formed, consumed = np.full((n, width), -1, dtype=np.int32), np.zeros((n, width)), np.zeros((n, width))
+    for p, spine in spines.items():
+        for k, (symbol, f, c) in enumerate(spine):
+            ids[p, k], formed[p, k], consumed[p, k] = pieces[symbol][0], f, c
+    return ids, formed, consumed
+
+
+def build(kind: int, pieces: dict[str, tuple[int, float]], surface: list[str], types: list[int], byte_ids: dict[int, int], unknown: int, prefix: bool = True) -> Transducer:
+    """Compile normaliser, lexicon and byte fallback."""
+    import numpy as np
+
+    t = Transducer(kind, pieces, surface, types, byte_ids, unknown, prefix)
+    t.symbols = {c: k + 1 for k, c in enumerate(sorted({c for p in pieces for c in p} | {ESCAPE}))}
+    valid = pieces
+    if kind == _BPE:
+        if any(c not in pieces for p in pieces for c in p):
+            raise ValueError("a piece holds a character that is no piece")
+        valid, left, right = {}, {}, {}
+        for p, (i, _) in pieces.items():
+            steps = list(merge_steps(pieces, p))
+            if any(a[0] > b[0] for a, b in zip(steps, steps[1:], strict=False)):
+                raise ValueError("the merges within a piece do not go by score")
+            if steps[-1][1] == [p]:
+                valid[p], left[i], right[i] = (i, 0.0), _spine(steps, 0), _spine(steps, -1)
+        t.left, t.right = _table(left, pieces, len(surface)), _table(right, pieces, len(surface))
+        joins = sorted((pieces[p[:k]][0] * len(surface) + pieces[p[k:]][0], -s) for p, (_, s) in pieces.items() for k in range(1, len(p)) if p[:k] in pieces and p[k:] in pieces)
+        t.joins, t.ranks = np.array([k for k, _ in joins] or [-1], dtype=np.int64), np.array([r for _, r in joins] or [0.0])
+    width, edges, final = len(t.symbols) + 1, {}, [-1]
+    for p, (i, _) in valid.items():
+        state = 0
+        for c in p:
+            key = state * width + t.symbols[c]
+            if key not in edges:
+                edges[key] = len(final)
+                final.append(-1)
+            state = edges[key]
+        final[state] = i
+    t.edges, t.final = np.array(sorted(edges) or [-1], dtype=np.int64), np.array(final, dtype=np.int32)
+    t.targets = np.array([edges.get(k, 0) for k in t.edges.tolist()], dtype=np.int32)
+    return t
 
 
 def compile_model(path: str) -> Transducer:
-    """Read and compile a model file of the unigram or BPE kind with the identity normaliser."""
+    """Read and compile a model file of the unigram or BPE kind with the identity character map."""
     with open(path, "rb") as f:
         model = f.read()
     pieces, surface, types, byte_ids = {}, [], [], {}
@@ -146,148 +242,239 @@ def compile_model(path: str) -> Transducer:
             got = dict(_fields(value))
             charsmap, prefix, squeeze, escape = got.get(2, b""), bool(got.get(3, 1)), bool(got.get(4, 1)), bool(got.get(5, 1))
     if kind not in (_UNIGRAM, _BPE) or charsmap or squeeze or not escape or suffix or not fallback or any(ESCAPE in p.lstrip(ESCAPE) for p in pieces):
-        raise ValueError("only unigram and BPE models with identity normaliser, kept white space, escape prefix and byte fallback")
-    t = Transducer(kind, pieces, surface, types, byte_ids, unknown, prefix, max(map(len, pieces), default=1))
-    for p, (i, _) in pieces.items():
-        if kind == _UNIGRAM:
-            t.valid[p] = i
-            continue
-        parts, t.left_spine[p], t.right_spine[p] = t.merge(p)
-        if parts == [p]:
-            t.valid[p] = i
-    return t
+        raise ValueError("only unigram and BPE models with identity character map, kept white space, escape prefix and byte fallback")
+    return build(kind, pieces, surface, types, byte_ids, unknown, prefix)
 
 
 class Encoder:
     """Composes inputs with a transducer and takes shortest paths."""
 
-    def __init__(self, transducer: Transducer):
-        self.t = transducer
-        self.together: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
-        #: Characters that follow one another in some piece; elsewhere a stretch can be cut.
-        self.joined = {p[k : k + 2] for p in transducer.valid for k in range(len(p) - 1)}
-        by_head: dict[str, int] = {}
-        for p in transducer.valid:
-            by_head[p[:2]] = max(by_head.get(p[:2], 0), len(p))
-        self.longest_at = by_head
-        self.shorter: dict[str, str] = {p: next((p[:n] for n in range(len(p) - 1, 0, -1) if p[:n] in transducer.valid), "") for p in transducer.valid}
+    def __init__(self, transducer: Transducer, kept_bytes: int = 96 << 20):
+        import numpy as np
+
+        t = self.t = transducer
+        self.kept = Kept(kept_bytes)
+        self.width, self.n_ids = len(t.symbols) + 1, len(t.surface)
+        #: The normaliser: the symbol of each code point.
+        self.alphabet = np.zeros(0x110000, dtype=np.int32)
+        self.alphabet[[ord(c) for c in t.symbols]] = list(t.symbols.values())
+        self.alphabet[ord(" ")] = t.symbols[ESCAPE]
+        #: Symbols that follow one another in some piece; elsewhere a stretch can be cut.
+        pairs = {t.symbols[a] * self.width + t.symbols[b] for p in t.pieces for a, b in zip(p, p[1:], strict=False)}
+        self.joined = np.array(sorted(pairs) or [-1], dtype=np.int64)
+        scores = [s for _, s in t.pieces.values()]
+        self.cost = np.zeros(self.n_ids + 1)
+        if t.kind == _UNIGRAM:
+            for i, s in t.pieces.values():
+                self.cost[i] = -s
+            self.cost[-1] = 10 - min(scores, default=0.0)  # a byte fallback costs ten more than the worst piece
+        self.pair_keys, self.pair_costs = np.full(1 << _PAIR_BITS, -1, dtype=np.int64), np.zeros(1 << _PAIR_BITS, dtype=np.float32)
+        self.byte_ids = np.array([t.byte_ids.get(b, t.unknown) for b in range(256)], dtype="<i4")
         #: What an id alone decodes to; bytes of longer UTF-8 sequences are read together.
-        self.alone = [self._alone(i) for i in range(len(transducer.surface))]
-        self.high = frozenset(i for b, i in transducer.byte_ids.items() if b >= 128)
+        self.alone = [self._alone(i) for i in range(len(t.surface))]
+        self.high = frozenset(i for b, i in t.byte_ids.items() if b >= 128)
 
     def _alone(self, i: int) -> str:
         of, surface = self.t.types[i], self.t.surface[i]
         return "" if of == _CONTROL else " ⁇ " if of == _UNKNOWN else chr(int(surface[3:5], 16)) if of == _BYTE else surface.replace(ESCAPE, " ")
 
-    def normalise(self, text: str) -> str:
-        text = text.replace(" ", ESCAPE)
-        return ESCAPE + text if self.t.prefix and text else text
-
-    def path(self, x: str) -> tuple[int, ...]:
-        return self._merging_path(x) if self.t.kind == _BPE else self._scored_path(x)
-
-    def _fallback(self, c: str) -> tuple[int, ...]:
-        return tuple(self.t.byte_ids[b] for b in c.encode("utf-8", "surrogatepass"))
-
-    def _arc(self, x: str, at: int) -> str:
-        """The longest piece that starts at a place, or the character there if it is outside the lexicon."""
-        valid = self.t.valid
-        for n in range(min(self.longest_at.get(x[at : at + 2], 1), len(x) - at), 0, -1):
-            if x[at : at + n] in valid:
-                return x[at : at + n]
-        return x[at] if x[at] not in self.t.pieces else ""
-
-    def _fits(self, a: str, b: str) -> bool:
-        fits = self.together.get((a, b))
-        if fits is None:
-            if len(self.together) >= _PAIRS:
-                self.together.clear()
-            fits = self.together[a, b] = a not in self.t.valid or b not in self.t.valid or self.t.stand_together(a, b)
-        return fits
-
-    def _merging_path(self, x: str) -> tuple[int, ...]:
-        """The path of finite weight, depth first with the longest arcs tried first.
-
-        A place from which no arc leads on is dead whichever way it is reached, as the
-        pieces before a place are the same in every way that is finite so far.
+    def weights(self, before, arcs):
+        """Weights of arcs after the last pieces ``before`` (-1: none, the number of ids: a byte fallback)."""
+        import numpy as np
+
+        out = self.cost[arcs]
+        if self.t.kind == _UNIGRAM:
+            return out
+        some = np.flatnonzero((before >= 0) & (before < self.n_ids) & (arcs < self.n_ids))
+        key = before[some].astype(np.int64) * self.n_ids + arcs[some]
+        slot = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _PAIR_BITS)
+        new = np.flatnonzero(self.pair_keys[slot] != key)
+        if len(new):
+            keys, first = np.unique(key[new], return_index=True)
+            at = slot[new][first]
+            found = self.t.weight(keys // self.n_ids, keys % self.n_ids)
+            out[some] = self.pair_costs[slot]
+            out[some[new]] = found[np.searchsorted(keys, key[new])]
+            self.pair_keys[at], self.pair_costs[at] = keys, found
+            last = self.pair_keys[at] == keys  # of keys that share a slot one stays
+            self.pair_costs[at[last]] = found[last]
+        else:
+            out[some] = self.pair_costs[slot]
+        return out
+
+    def arcs(self, symbols, ends, at):
+        """The lattice: (first place, end place, piece) of all arcs that start at the places ``at``; ``ends`` bounds them."""
+        import numpy as np
+
+        edges, targets, final = self.t.edges, self.t.targets, self.t.final
+        starts, stops, pieces = [], [], []
+        state, to = np.zeros(len(at), dtype=np.int64), at
+        limit = ends[at]
+        while len(at):
+            key = state * self.width + symbols[to]
+            place = np.minimum(np.searchsorted(edges, key), len(edges) - 1)
+            on = np.flatnonzero(edges[place] == key)
+            state, at, to, limit = targets[place[on]].astype(np.int64), at[on], to[on] + 1, limit[on]
+            hit = np.flatnonzero(final[state] >= 0)
+            starts.append(at[hit])
+            stops.append(to[hit])
+            pieces.append(final[state[hit]])
+            on = np.flatnonzero(to < limit)
+            state, at, to, limit = state[on], at[on], to[on], limit[on]
+        return tuple(np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (starts, stops, pieces))
+
+    def relax(self, segments, starts, stops, pieces, last, total, back) -> None:
+        """Relax all segments in step: after round k, the nodes k places into their segment hold their least total.
+
+        ``last``, ``total`` and ``back`` are by node: the last piece of the best path, its
+        total weight and the node before. A node's best arc is the least sum of the total
+        before it and its own weight (the earliest start of equal ones).
         """
-        valid, shorter, together = self.t.valid, self.shorter, self.together
-        end, at, out, dead = len(x), 0, [], set()
-        p, before = self._arc(x, 0), ""
-        while at < end:
-            while p:
-                to = at + len(p)
-                if to not in dead:
-                    if not before:
-                        break
-                    fits = together.get((before, p))
-                    if fits if fits is not None else self._fits(before, p):
-                        break
-                p = shorter.get(p, "")
-            if p:
-                out.append(p)
-                before, at = p, to
-                if at < end:
-                    p = self._arc(x, at)
-            else:
-                dead.add(at)
-                p = out.pop()
-                at -= len(p)
-                before = out[-1] if out else ""
-                p = shorter.get(p, "")
-        return tuple(i for p in out for i in ((valid[p],) if p in valid else self._fallback(p)))
-
-    def _scored_path(self, x: str) -> tuple[int, ...]:
-        """The path of the largest total score; an unknown character costs ten less than the worst piece."""
-        pieces = self.t.pieces
-        worst = min((s for _, s in pieces.values()), default=0.0) - 10
-        best: list[tuple[float, int]] = [(0.0, 0)]
-        for end in range(1, len(x) + 1):
-            options = [(best[end - n][0] + pieces[x[end - n : end]][1], end - n) for n in range(1, min(self.t.longest, end) + 1) if x[end - n : end] in pieces]
-            if x[end - 1] not in pieces:
-                options.append((best[end - 1][0] + worst, end - 1))
-            best.append(max(options, key=lambda o: (o[0], -o[1])))
-        out, end = [], len(x)
-        while end:
-            start = best[end][1]
-            p = x[start:end]
-            out.append((pieces[p][0],) if p in pieces else self._fallback(p))
-            end = start
-        return tuple(i for ids in reversed(out) for i in ids)
+        import numpy as np
 
-    def encode(self, text: str | None) -> list[int]:
+        order = np.lexsort((starts, stops, stops - segments))
+        starts, stops, pieces, step = starts[order], stops[order], pieces[order], (stops - segments)[order]
+        bounds = np.flatnonzero(np.diff(step, prepend=-1, append=-1))
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            s, e, p = starts[lo:hi], stops[lo:hi], pieces[lo:hi]
+            reached = np.flatnonzero(np.isfinite(total[s]))
+            s, e, p = s[reached], e[reached], p[reached]
+            sums = total[s] + self.weights(last[s], p)
+            good = np.flatnonzero(np.isfinite(sums))
+            s, e, p, sums = s[good], e[good], p[good], sums[good]
+            if not len(e):
+                continue
+            first = np.flatnonzero(np.diff(e, prepend=-1))
+            if len(first) < len(e):
+                least = np.minimum.reduceat(sums, first)
+                group = np.cumsum(np.diff(e, prepend=-1) != 0) - 1
+                best = np.flatnonzero(sums == least[group])
+                best = best[np.unique(group[best], return_index=True)[1]]
+                s, e, p, sums = s[best], e[best], p[best], sums[best]
+            total[e], last[e], back[e] = sums, p, s
+
+    def relax_long(self, start: int, end: int, starts, stops, pieces, last, total, back) -> None:
+        """The same for one long segment, place by place; weights between neighbouring arcs are taken all at once before."""
+        import numpy as np
+
+        order = np.lexsort((starts, stops))
+        starts, stops, pieces = starts[order], stops[order], pieces[order]
+        bpe, allowed = self.t.kind == _BPE, set()
+        if bpe:
+            by_start = np.argsort(starts, kind="stable")
+            for lo in range(0, len(stops), _KEYS):
+                a, b = np.searchsorted(starts[by_start], stops[lo : lo + _KEYS], "left"), np.searchsorted(starts[by_start], stops[lo : lo + _KEYS], "right")
+                n = b - a
+                x = np.repeat(pieces[lo : lo + _KEYS], n)
+                y = pieces[by_start[np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())]]
+                keys = np.unique(x.astype(np.int64) * self.n_ids + y)
+                allowed.update(keys[np.isfinite(self.t.weight(keys // self.n_ids, keys % self.n_ids))].tolist())
+        cost = self.cost.tolist()
+        sums, of, before = [float("inf")] * (end - start + 1), [-1] * (end - start + 1), [0] * (end - start + 1)
+        sums[0] = 0.0
+        for s, e, p in zip((starts - start).tolist(), (stops - start).tolist(), pieces.tolist(), strict=True):
+            if sums[s] < float("inf") and (not bpe or of[s] < 0 or of[s] * self.n_ids + p in allowed):
+                x = sums[s] + cost[p]
+                if x < sums[e]:
+                    sums[e], of[e], before[e] = x, p, s
+        total[start : end + 1], last[start : end + 1], back[start : end + 1] = sums, of, np.array(before) + start
+
+    def paths(self, stretches: list[str]) -> list[bytes]:
+        """The ids of each stretch (none empty), as little-endian 32-bit numbers."""
+        import numpy as np
+
+        codes = np.frombuffer("".join(stretches).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+        n, length = len(codes), np.fromiter(map(len, stretches), dtype=np.int64, count=len(stretches))
+        symbols = self.alphabet[codes].astype(np.int64)
+        cut = np.ones(n, dtype=bool)
+        key = symbols[:-1] * self.width + symbols[1:]
+        cut[1:] = self.joined[np.minimum(np.searchsorted(self.joined, key), len(self.joined) - 1)] != key
+        first_of = np.cumsum(length) - length
+        cut[first_of] = True
+        # A segment is what lies between cuts; it has a node before each character and one at its end.
+        begins = np.flatnonzero(cut)
+        segment = np.cumsum(cut) - 1
+        size = np.diff(begins, append=n)
+        node = np.arange(n) + segment
+        n_nodes = n + len(begins)
+        of_node = np.zeros(n_nodes, dtype=np.int64)
+        of_node[node] = symbols
+        seg_first, seg_last = begins + np.arange(len(begins)), begins + np.arange(len(begins)) + size
+        ends = np.zeros(n_nodes, dtype=np.int64)
+        ends[node] = seg_last[segment]
+        last, total, back = np.full(n_nodes, -1, dtype=np.int64), np.full(n_nodes, np.inf), np.zeros(n_nodes, dtype=np.int64)
+        total[seg_first] = 0.0
+        starts, stops, pieces = self.arcs(of_node, ends, node[symbols > 0])
+        # Byte fallback: a character outside the lexicon, or one that no piece starts with alone.
+        alone = np.zeros(n_nodes, dtype=bool)
+        alone[starts[stops - starts == 1]] = True
+        out = node[~alone[node]]
+        starts, stops, pieces = np.concatenate([starts, out]), np.concatenate([stops, out + 1]), np.concatenate([pieces.astype(np.int64), np.full(len(out), self.n_ids)])
+        place = np.zeros(n_nodes, dtype=np.int64)
+        place[node] = segment
+        owner = place[starts]
+        long = size > _LONG
+        quick = np.flatnonzero(~long[owner])
+        self.relax(seg_first[owner[quick]], starts[quick], stops[quick], pieces[quick], last, total, back)
+        if long.any():
+            slow = np.flatnonzero(long[owner])
+            slow = slow[np.argsort(owner[slow], kind="stable")]
+            for k in np.flatnonzero(long).tolist():
+                mine = slow[np.searchsorted(owner[slow], k, "left") : np.searchsorted(owner[slow], k, "right")]
+                self.relax_long(int(seg_first[k]), int(seg_last[k]), starts[mine], stops[mine], pieces[mine], last, total, back)
+        on = np.zeros(n_nodes, dtype=bool)
+        at = seg_last
+        begin = seg_first
+        while len(at):
+            on[at] = True
+            at = back[at]
+            more = np.flatnonzero(at > begin)
+            at, begin = at[more], begin[more]
+        hits = np.flatnonzero(on)
+        ids, before = last[hits], back[hits]
+        # back to characters: a node's place among them, and each fallback as its bytes
+        char = np.zeros(n_nodes, dtype=np.int64)
+        char[node] = np.arange(n)
+        char = char[before]
+        c = codes[char]
+        fallback = ids == self.n_ids
+        many = np.where(fallback, 1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000), 1)
+        to = np.cumsum(many)
+        flat = np.repeat(ids, many).astype("<i4")
+        if fallback.any():
+            k = np.arange(len(flat)) - np.repeat(to - many, many)
+            m, x, is_byte = np.repeat(many, many), np.repeat(c, many), np.repeat(fallback, many)
+            lead = np.array([0, 0, 0xC0, 0xE0, 0xF0])[m] | (x >> (6 * (m - 1)))
+            value = np.where(k == 0, lead, 0x80 | ((x >> (6 * np.maximum(m - 1 - k, 0))) & 0x3F))
+            flat[is_byte] = self.byte_ids[value[is_byte]]
+        sums = np.concatenate([[0], to])
+        cuts = (sums[np.concatenate([np.searchsorted(char, first_of), [len(char)]])] * 4).tolist()
+        data = flat.tobytes()
+        return [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def keys(self, text: str | None) -> list[str]:
+        """Keys of the stretches of a normalised text; see ``_LITERAL``."""
         if not text:
             return []
-        x = self.normalise(text)
-        if ESCAPE + ESCAPE in x or x[0] != ESCAPE:
-            parts = _STRETCH.findall(x)
-        else:
-            parts = [ESCAPE + y for y in x[1:].split(ESCAPE)]
-        known, out = self.known, []
-        for p in parts:
-            ids = known.get(p)
-            if ids is None:
-                ids = self._learn(p)
-                known = self.known
-            out.extend(ids)
-        return out
+        if ESCAPE in text:
+            text = text.replace(ESCAPE, " ")
+        if self.t.prefix:
+            if "  " not in text and text[0] != " ":
+                return text.split(" ")
+            text = " " + text
+        return [_LITERAL + x for x in _STRETCH.findall(text)]
+
+    def _compose(self, keys: list[str]) -> list[bytes]:
+        return self.paths([k[1:] if k[:1] == _LITERAL else " " + k for k in keys])
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text, as little-endian 32-bit numbers."""
+        return self.kept.folded(map(self.keys, texts), self._compose, b"".join)
+
+    def encode(self, text: str | None) -> list[int]:
+        import numpy as np
 
-    def _learn(self, x: str) -> tuple[int, ...]:
-        """The ids of a stretch not met lately. Two generations are kept, and the older goes when the newer is full."""
-        ids = self.older.get(x)
-        if ids is None:
-            cuts = [k for k in range(1, len(x)) if x[k - 1 : k + 1] not in self.joined]
-            if cuts:
-                parts = [x[a:b] for a, b in zip([0, *cuts], [*cuts, len(x)], strict=True)]
-                ids = tuple(i for p in parts for i in (self.known.get(p) or self._learn(p)))
-            else:
-                ids = self.path(x)
-        if len(self.known) >= _CACHED:
-            self.older, self.known = self.known, {}
-        self.known[x] = ids
-        return ids
+        return np.frombuffer(self.encode_all([text])[0], dtype="<i4").tolist()
 
     def decode(self, ids: list[int]) -> str:
         """Pieces joined, runs of bytes read as UTF-8 (each bad byte as U+FFFD), escape signs as spaces, without the dummy prefix."""
@@ -321,19 +508,23 @@ def _shared_encoder(rows: DataFrame, model_path: str):
 
 
 def encoded(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` with the piece ids of each whole text as an array. Null and empty texts have none."""
+    """``docs`` with the piece ids of each whole text as an array. Null and empty texts have none; a column ``ids`` that is there is replaced."""
     encoder = _shared_encoder(docs, model_path)
 
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
+        import numpy as np
+
         e = encoder()
-        return pa.array(map(e.encode, texts.to_pylist()), pa.list_(pa.int32()))
+        ids = [np.frombuffer(x, dtype="<i4") for x in e.encode_all(texts.to_pylist())]
+        ends = np.cumsum([0, *map(len, ids)]).astype("i4")
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*ids, np.zeros(0, dtype="<i4")])))
 
     return docs.withColumn(ids, encode(F.col(text)))
 
 
 def decoded(rows: DataFrame, model_path: str, ids: str = "ids", to: str = "text") -> DataFrame:
-    """``rows`` with the text of each array of piece ids. A null array gives an empty text."""
+    """``rows`` with the text of each array of piece ids. A null array gives an empty text; a column ``to`` that is there is replaced."""
     encoder = _shared_encoder(rows, model_path)
 
     @F.arrow_udf("string")
@@ -363,11 +554,11 @@ def encode_and_decode(docs: DataFrame, model_path: str) -> DataFrame:
         e = encoder()
         is_byte = np.array(e.t.types) == _BYTE
         out = []
-        for t in texts.to_pylist():
-            ids = e.encode(t)
-            flat = np.array(ids, dtype="<i4")
-            back = e.decode(ids)
-            out.append({"n_pieces": len(ids), "n_bytes": int(is_byte[flat].sum()), "ids_sha256": hashlib.sha256(flat.tobytes()).hexdigest(), "n_chars": len(back), "same": back == (t or "").replace(ESCAPE, " ")})
+        texts = texts.to_pylist()
+        for t, data in zip(texts, e.encode_all(texts), strict=True):
+            ids = np.frombuffer(data, dtype="<i4")
+            back = e.decode(ids.tolist())
+            out.append({"n_pieces": len(ids), "n_bytes": int(is_byte[ids].sum()), "ids_sha256": hashlib.sha256(data).hexdigest(), "n_chars": len(back), "same": back == (t or "").replace(ESCAPE, " ")})
         return pa.array(out, pa.struct([("n_pieces", pa.int64()), ("n_bytes", pa.int64()), ("ids_sha256", pa.string()), ("n_chars", pa.int64()), ("same", pa.bool_())]))
 
     w = F.col("w")
