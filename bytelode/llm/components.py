@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytelode.llm.common import written
+from bytelode.llm.common import discard, fresh_dir
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -28,13 +28,21 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     edge table gives an empty result. Each round is two grouped minima with joins
     (a hub's edges are split by the adaptive skew join, never gathered), and ends
     in a written table, so a lost executor costs one round at most. The edges form
-    stars when a round leaves them as they were.
+    stars when a round leaves them as they were. A round's table goes when the next is written.
     """
-    now, seen = written(edges.where("u <> v").select("u", "v"), "edges"), None
+    spark = edges.sparkSession
+
+    def write(df: DataFrame) -> tuple[DataFrame, str]:
+        df.write.parquet(path := fresh_dir(spark, "edges"))
+        return spark.read.schema("u long, v long").parquet(path), path
+
+    (now, path), seen = write(edges.where("u <> v").select("u", "v")), None
     for _ in range(max_rounds):
         print_of = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if not print_of[0] or print_of == seen:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = print_of
-        now = written(_small_star(_large_star(now)), "edges")
+        old = path
+        now, path = write(_small_star(_large_star(now)))
+        discard(spark, old)
     raise RuntimeError(f"no fixed point after {max_rounds} rounds")

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
-from itertools import combinations
+from itertools import combinations, islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -16,37 +17,40 @@ from bytelode.llm.components import connected_components
 BUCKET = 256
 PIVOTS = 8
 _BLOCKS = list(combinations(range(4), 2))
+_WORD = re.compile(rb"[^\x20\x09-\x0d]+")
+#: Bytes of a text from which its words are found one by one.
+_WHOLE = 1 << 22
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """The 64-bit fingerprint of one text, as an unsigned number; 0 without words."""
+    """The 64-bit fingerprint of one text, as an unsigned number; 0 without words. A long text's words are taken in blocks."""
     import numpy as np
     import xxhash
 
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
-    if not words:
-        return 0
-    h = xxhash.xxh64_intdigest
-    if len(words) < shingle:
-        hashes = [h(b" ".join(words), 42)]
-    else:
-        hashes = [h(b" ".join(x), 42) for x in zip(*(words[i:] for i in range(shingle)), strict=False)]
-    ones = np.zeros(64, dtype=np.int64)
-    for i in range(0, len(hashes), 65536):
-        part = np.array(hashes[i : i + 65536], dtype=">u8").view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
-
-
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, fp)``, one row per row of ``docs``; a null text counts as empty."""
+    data = (text or "").encode("utf-8", "surrogatepass").lower()  # bytes: A-Z and ASCII white space only
+    found = iter(data.split()) if len(data) < _WHOLE else (m.group() for m in _WORD.finditer(data))
+    h, ones, n, words = xxhash.xxh64_intdigest, np.zeros(64, dtype=np.int64), 0, []
+    while more := list(islice(found, 65536)):
+        words += more
+        if n or len(words) >= shingle:
+            hashes = [h(b" ".join(x), 42) for x in zip(*(words[i:] for i in range(shingle)), strict=False)]
+            ones += np.unpackbits(np.array(hashes, dtype=">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+            n += len(hashes)
+            words = words[len(words) - shingle + 1 :]
+    if not n and words:
+        return h(b" ".join(words), 42)
+    return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
+
+
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", *also: str) -> DataFrame:
+    """``(doc_id, fp)`` and the columns ``also``, one row per row of ``docs``; a null text counts as empty."""
     bounded_batches(docs.sparkSession)
 
     @F.arrow_udf("long")
     def signed(texts: pa.Array) -> pa.Array:
         return pa.array(((f := fingerprint(t)) - (1 << 64) * (f >> 63) for t in texts.to_pylist()), pa.int64())
 
-    return docs.select(F.col(key).alias("doc_id"), signed(F.col(text)).alias("fp"))
+    return docs.select(F.col(key).alias("doc_id"), signed(F.col(text)).alias("fp"), *also)
 
 
 def _pivots(n: int) -> list[int]:
@@ -100,6 +104,15 @@ def _wildcard_links(members: DataFrame) -> DataFrame:
     return files.join(least, ["mask", "rest"]).where("fp <> m").select(F.col("m").alias("u"), F.col("fp").alias("v")).distinct()
 
 
+def _groups(fps: DataFrame) -> DataFrame:
+    """``(fp, component_id)`` of distinct fingerprints of ``fps(doc_id, fp)``."""
+    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
+    roots = connected_components(near_links(distinct.select("fp")))
+    joined = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    least = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return joined.join(least, "root").select("fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, fp, component_id)`` for every row of ``docs``.
 
@@ -113,23 +126,24 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     an empty result.
     """
     fps = written(fingerprints(docs, key, text), "fingerprints")
-    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    roots = connected_components(near_links(distinct.select("fp")))
-    joined = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    least = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_fp = joined.join(least, "root").select("fp", "component_id")
-    return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(_groups(fps).drop("root"), "fp").select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each near-duplicate group, the one of the least id.
+    """``docs`` with one row of each near-duplicate group; all columns stay as they are.
 
-    All columns stay as they are. Rows with a null id are kept. Rows that repeat an
-    id are taken for one document written more than once: one of them stays.
+    Rows are judged one by one, whatever ids they share: of a group the row of the least
+    id stays (null ids come last), of more rows with that id the one whose hash over all
+    columns is least, of rows equal in all columns one. So a text that is near no other
+    always stays. An empty table gives an empty result.
     """
-    found = written(near_duplicates(docs, key, text), "near-duplicates")
-    dropped = found.where("doc_id <> component_id").select(F.col("doc_id").alias(of := fresh_name(docs, "dropped"))).distinct()
-    kept = docs.join(dropped, docs[key] == F.col(of), "left_anti")
-    if not found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        kept = kept.where(F.col(key).isNull()).unionByName(kept.where(F.col(key).isNotNull()).dropDuplicates([key]))
-    return kept
+    mark, of, n = (fresh_name(docs, x) for x in ("row_hash", "kept_id", "n_rows"))
+    columns = [F.map_entries(c) if docs.schema[c].dataType.typeName() == "map" else F.col(c) for c in docs.columns]
+    marked = docs.withColumn(mark, F.xxhash64(*columns))
+    prints = fingerprints(marked, key, text, mark)
+    rows = written(prints.groupBy("fp", "doc_id", mark).agg(F.count("*").alias(n)), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias(of), F.col(mark).alias(mark), F.col(n).alias(n)))
+    stay = rows.join(_groups(rows).select("fp", "root"), "fp").groupBy("root").agg(first.alias("s")).select("s.*").drop("no_id").withColumnRenamed(mark, f"{mark}_")
+    kept = marked.join(stay, marked[key].eqNullSafe(F.col(of)) & (F.col(mark) == F.col(f"{mark}_")))
+    once, more = kept.where(F.col(n) == 1), kept.where(F.col(n) > 1).dropDuplicates([key, mark])
+    return once.unionByName(more).select(*docs.columns)
