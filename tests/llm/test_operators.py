@@ -109,6 +109,23 @@ def test_drop_near_duplicates_keeps_one_and_all_columns(spark):
     assert ids == ["1", "10", "2", "5", "9", "None"]
 
 
+def test_near_duplicates_are_dropped_by_row_not_by_id(spark):
+    rows = [(1, "one two three four"), (2, "alpha beta gamma delta epsilon"), (2, "one two three four"), (3, "zeta eta theta iota"), (3, "kappa lambda mu nu xi"), (3, "kappa lambda mu nu xi"), (None, "one two three four"), (None, "only here and nowhere else"), (None, "ONE two three four")]
+    kept = sorted((str(r.doc_id), r.text) for r in simhash.drop_near_duplicates(docs(spark, rows)).collect())
+    assert kept == sorted([("1", "one two three four"), ("2", "alpha beta gamma delta epsilon"), ("3", "zeta eta theta iota"), ("3", "kappa lambda mu nu xi"), ("None", "only here and nowhere else")])
+    same_id = [(5, "one two three four", "b"), (5, "One two three four", "a"), (6, "one two three four", "a")]
+    assert simhash.drop_near_duplicates(spark.createDataFrame(same_id, "doc_id long, text string, lang string")).count() == 1
+    with_map = spark.createDataFrame([(1, "a b c", {"k": 1}), (2, "a b c", {"k": 2})], "doc_id long, text string, n_rows map<string,int>")
+    assert [r.doc_id for r in simhash.drop_near_duplicates(with_map).collect()] == [1]
+    assert simhash.drop_near_duplicates(docs(spark, [])).count() == 0
+
+
+def test_fingerprints_of_long_texts_taken_in_blocks(monkeypatch):
+    monkeypatch.setattr(simhash, "_WHOLE", 100)
+    assert simhash.fingerprint(LONG + " " + LONG) == naive_fingerprint(LONG + " " + LONG)
+    assert simhash.fingerprint(" a" * 30 + " " * 100) == naive_fingerprint(" a" * 30 + " " * 100)
+
+
 def test_token_counts_and_store_match_the_library(spark):
     from tokenizers import Tokenizer
 
@@ -243,8 +260,7 @@ def test_piece_transducer_matches_the_library(spark):
 def test_unigram_shortest_path():
     pieces = {"▁": (1, -3.0), "a": (2, -2.0), "b": (3, -2.0), "ab": (4, -1.5), "ba": (5, -1.0), "▁a": (6, -2.4)}
     surface, types = ["<unk>", *pieces, "<0x63>"], [2, *[1] * 6, 6]
-    t = piece_transducer.Transducer(1, pieces, surface, types, {0x63: 7}, 0, True, 2, {p: i for p, (i, _) in pieces.items()})
-    e = piece_transducer.Encoder(t)
+    e = piece_transducer.Encoder(piece_transducer.build(1, pieces, surface, types, {0x63: 7}, 0))
 
     def best(x):
         ways = {0: (0.0, ())}
@@ -255,8 +271,31 @@ def test_unigram_shortest_path():
             ways[end] = max(options)
         return ways[len(x)][1]
 
-    for x in ("▁ab", "▁aba", "▁bab", "▁abcab", "▁aab"):
-        assert e.path(x) == best(x)
+    texts = ["ab", "aba", "bab", "abcab", "aab", "abacab" * 20]
+    assert [e.encode(x) for x in texts] == [list(best("▁" + x)) for x in texts]
+
+
+def test_weights_tell_what_merging_leaves():
+    t = piece_transducer.compile_model(PIECES)
+    rng = random.Random(11)
+    some = [p for p in t.pieces if len(p) < 9]
+    pairs = [(rng.choice(some), rng.choice(some)) for _ in range(4000)] + [(p[:k], p[k:]) for p in rng.sample(some, 400) for k in range(1, len(p)) if p[:k] in t.pieces and p[k:] in t.pieces]
+    weights = t.weight(*(np.array([t.pieces[x][0] for x in side]) for side in zip(*pairs, strict=True)))
+    for (a, b), w in zip(pairs, weights, strict=True):
+        *_, (_, merged) = piece_transducer.merge_steps(t.pieces, a + b)
+        assert (w == 0) == (merged == [a, b])
+
+
+def test_kept_stretches_are_bounded_in_bytes():
+    import sentencepiece
+
+    s = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    e = piece_transducer.Encoder(piece_transducer.compile_model(PIECES), kept_bytes=4000)
+    rng = random.Random(4)
+    spaceless = "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGH0123456789+/", k=1 << 20))
+    for text in [*(f"word{k} tail{k % 7}" for k in range(200)), spaceless, "中" * 5000, "word1 tail1"]:
+        assert e.encode(text) == s.encode(text)
+        assert e.kept.size <= 4000 + 400 and all(len(k) <= 256 for k in [*e.kept.new, *e.kept.old])
 
 
 def conversations_brute_force(rows):
@@ -345,12 +384,47 @@ def test_toxicity_learns_from_overused_words_and_from_a_rare_language():
 
     kinds = [k % 50 > 0 for k in range(2000)]
     model = toxicity.train([(text(kind, k % 4 == 1 or k % 100 == 0), int(k % 4 == 1 or k % 100 == 0)) for k, kind in enumerate(kinds)])
-    gain = model.windows()
+    gain = model.gains()
     for kind in (True, False):
         for y in (0, 1):
             assert sum((model.score(gain, text(kind, y)) >= 0.7) == bool(y) for _ in range(40)) >= 36
 
 
+def test_toxicity_scores_by_definition(spark):
+    """Scores again from the model's fields alone: two zstandard dictionaries, windows of words, thresholds, a logistic."""
+    import math
+    import re
+
+    import zstandard as z
+
+    table = queries.table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    model = queries.toxicity_model(spark, table, "/root/testdata/sf0.01")
+    assert model.weights and len(model.ordinary) == len(model.toxic)
+
+    compressors = []
+    for data in (model.ordinary, model.toxic):
+        params = z.ZstdCompressionParameters.from_level(model.level, write_content_size=0, write_checksum=0, write_dict_id=0, format=z.FORMAT_ZSTD1_MAGICLESS)
+        d = z.ZstdCompressionDict(data, dict_type=z.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(compression_params=params)
+        compressors.append(z.ZstdCompressor(dict_data=d, compression_params=params))
+
+    def naive(text):
+        words = re.findall("[a-z0-9\x80-\U0010ffff]+", (text or "").lower())
+        diffs = []
+        for i in range(0, len(words), model.window):
+            x = (" " + " ".join(words[i : i + model.window]) + " ").encode() + toxicity._TRAILER
+            sizes = [len(c.compress(x)) for c in compressors]
+            diffs.append(sizes[0] - sizes[1])
+        reach = [sum(d >= t for d in diffs) for t in model.thresholds]
+        x = [min(24.0, max(-4.0, max(diffs, default=0))), *(math.log1p(n) for n in reach), *(math.log1p(100 * n / max(1, len(diffs))) for n in reach)]
+        t = model.weights[0] + sum(w * (v - m) / s for w, v, m, s in zip(model.weights[1:], x, model.mean, model.scale, strict=True))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, t))))
+
+    rows = ODD + [(r.doc_id + 100, r.text) for r in table.limit(40).collect()]
+    scored = toxicity.score(docs(spark, rows).select("doc_id", "text"), model).collect()
+    assert sorted((str(r.doc_id), round(r.score, 9)) for r in scored) == sorted((str(i), round(naive(t), 9)) for i, t in rows)
+
+
 def test_held_out_rows_are_never_learned_from(spark):
     got = spark.range(50).select("id", queries.held_out(F.col("id")).alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 3 == 1) for r in got)
@@ -367,12 +441,69 @@ def test_pipeline_stages(spark):
     assert {r.doc_id for r in got.collect()} == want and 0 < len(want) < 200
 
 
-def test_encoder_with_full_caches_gives_the_library_ids(monkeypatch):
-    monkeypatch.setattr(tokens, "_CACHED", 3)
+def plain_pipeline(rows, model, items):
+    """The pipeline in plain Python: (id, pieces, characters decoded) of what stays."""
+    import sentencepiece
+
+    s = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    gains = model.gains()
+    rows = [r for r in rows if model.score(gains, r[1]) < 0.7]
+    prints = [naive_fingerprint(t) for _, t in rows]
+    of = components(range(len(rows)), [(a, b) for a in range(len(rows)) for b in range(a + 1, len(rows)) if (prints[a] ^ prints[b]).bit_count() <= 2])
+    best = {}
+    for k, (i, _) in enumerate(rows):
+        order = (i is None, i or 0)
+        if of[k] not in best or order < best[of[k]][0]:
+            best[of[k]] = order, k
+    rows = [rows[k] for _, k in best.values()]
+    rows = [r for r in rows if not decontaminate.brute_force(r[1], items)[1]]
+    return sorted((str(i), len(s.encode(t or "")), len(s.decode(s.encode(t or "")))) for i, t in rows)
+
+
+def test_pipeline_matches_plain_python_on_odd_rows(spark, tmp_path):
+    real = [(r.doc_id + 100, r.text) for r in queries.table(spark, SF, "documents").collect()]
+    odd = [(i, t) for i, t in ODD if i != 7] + [(7, "One TWO three four"), (8, "seven words that stand only once here"), (8, "and eight other words that stand once too")]
+    names = ["documents", "labels", "benchmark"]
+    docs(spark, odd + real).write.parquet(f"{tmp_path}/documents.parquet")
+    queries.table(spark, SF, "labels").withColumn("doc_id", F.col("doc_id") + 100).write.parquet(f"{tmp_path}/labels.parquet")
+    queries.table(spark, SF, "benchmark").write.parquet(f"{tmp_path}/benchmark.parquet")
+    model = queries.toxicity_model(spark, queries.table(spark, str(tmp_path), "documents"), str(tmp_path))
+    items = {r.item_id: r.text for r in queries.table(spark, SF, "benchmark").collect()}
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((str(r.doc_id), r.n_pieces, r.n_chars_decoded) for r in got) == plain_pipeline(odd + real, model, items)
+    for name in names:
+        queries.table(spark, str(tmp_path), name).limit(0).write.parquet(f"{tmp_path}/empty/{name}.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+
+
+def test_store_names_and_temporary_tables(spark, tmp_path):
+    from bytelode.llm import common
+
+    assert common.arrow_uri("s3a://bucket/a") == "s3://bucket/a" and common.arrow_uri("/a/b") == "/a/b"
+    path = f"{tmp_path}/gone"
+    spark.range(3).write.parquet(path)
+    common.discard(spark, path)
+    assert not (tmp_path / "gone").exists()
+
+
+def test_encoder_with_full_caches_gives_the_library_ids():
+    with open(BPE, encoding="utf-8") as f:
+        tokenizer_json = f.read()
+    library, whole = tokens.load(tokenizer_json), tokens.prove_whole(tokenizer_json)
+    encoder, counter = tokens.TokenEncoder(tokenizer_json, "<u2", kept_bytes=600), tokens.TokenCounter(tokenizer_json, whole, kept_bytes=600)
+    for text in ["one two three four five six one two", "don't  stop\n\n\tnow\x00\x7f\x1f", "né 中文🙂\xa0　x\x85", "<|endoftext|> a<|endoftext|>", " ", "", "spaceless" * 120_000] * 2:
+        want = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(encoder.encode(text), dtype="<u2").tolist() == want
+        assert counter.count(text) == len(want)
+        for kept in (encoder.kept, counter.kept):
+            assert len(kept.new) <= 30 and len(kept.old) <= 30 and all(len(k) <= 256 for k in [*kept.new, *kept.old])
+    assert encoder.encode(None) == b"" and counter.count(None) == 0
+
+
+def test_pretokens_of_all_old_characters_are_the_librarys():
     with open(BPE, encoding="utf-8") as f:
         tokenizer_json = f.read()
-    encoder, library = tokens.TokenEncoder(tokenizer_json, "<u2"), tokens.load(tokenizer_json)
-    for text in ["one two three four five six one two", "don't  stop\n\n\tnow\x00\x7f\x1f", "né 中文🙂\xa0　x\x85", "<|endoftext|> a<|endoftext|>", " ", ""] * 2:
-        assert np.frombuffer(encoder.encode(text), dtype="<u2").tolist() == library.encode(text, add_special_tokens=False).ids
-        assert max(len(encoder.known), len(encoder.known.older), len(encoder.pieces)) <= 3
-    assert encoder.encode(None) == b""
+    encoder, library = tokens.TokenEncoder(tokenizer_json, "<u4"), tokens.load(tokenizer_json)
+    texts = [f"a{chr(c)}b {chr(c)}1{chr(c)}{chr(c)}'s " for c in [*range(0x540), *range(0x2000, 0x2070), 0x3000, 0x1F600]]
+    for x, data in zip(texts, encoder.encode_all(texts), strict=True):
+        assert np.frombuffer(data, dtype="<u4").tolist() == library.encode(x, add_special_tokens=False).ids
