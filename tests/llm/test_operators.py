@@ -355,6 +355,37 @@ def test_trees_learn_a_lexical_rule(spark):
     assert got.where("(verdict = 'block') = (y = 1)").count() >= 590
 
 
+def test_tree_columns_give_mllibs_margins(spark):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    pages = queries.table(spark, SF, "pages")
+    named = url_filter.described(pages.select("page_id", "url"))
+    known = url_filter.with_site_statistics(url_filter.labelled_by_rules(named, queries.RULES), named)
+    margin, model = url_filter.train_trees(known.where("by_rule is not null"), url_filter._LEXICAL)
+    given = model.transform(VectorAssembler(inputCols=url_filter._LEXICAL, outputCol="features").transform(known.withColumn("margin", margin)))
+    rows = given.select("page_id", "margin", "prediction", vector_to_array("rawPrediction")[1].alias("raw")).collect()
+    assert len(rows) == pages.count()
+    assert all(abs(r.margin - r.raw / 2) < 1e-9 or abs(r.margin - r.raw) < 1e-9 for r in rows)
+    assert all((r.margin > 0) == (r.prediction == 1.0) for r in rows)
+    judged = {r.page_id: r for r in url_filter.judge(pages, queries.RULES).collect()}
+    assert all(judged[r.page_id].verdict == ("block" if r.prediction == 1.0 else "allow") for r in rows if judged[r.page_id].rule is None)
+    assert sum(r.n for r in url_filter.held_out_verdicts(pages, queries.RULES).collect()) > 0
+
+
+def test_suffix_rates_are_out_of_fold(spark):
+    rows = [(k, f"http://a{k}.x.com/{k}", int(k % 3 == 0)) for k in range(60)] + [(100 + k, "http://one.site.org/", 1) for k in range(20)]
+    known = url_filter.described(spark.createDataFrame(rows, "page_id long, url string, y int"))
+    counts = {"top": url_filter.suffix_counts(known, "top")}
+    got = {r.page_id: r for r in url_filter.with_rates(known.withColumn("fold", url_filter._fold()), counts, True).collect()}
+    for i, _, _ in rows:
+        others = [y for k, _, y in rows if got[k].top == got[i].top and got[k].fold != got[i].fold]
+        assert abs(got[i].top_rate - (sum(others) + 5) / (len(others) + 10)) < 1e-12
+    assert all(got[100 + k].top_rate == 0.5 for k in range(20))  # all of one site: nothing is left
+    whole = {r.page_id: r.top_rate for r in url_filter.with_rates(known, counts, False).collect()}
+    assert abs(whole[100] - 25 / 30) < 1e-12
+
+
 def test_toxicity_learns_from_labels_and_handles_odd_texts(spark):
     rng = random.Random(1)
     syllables = ["the", "on", "er", "tion", "ha", "st", "in", "re", "wh", "le"]
