@@ -1,4 +1,10 @@
-"""Benchmark passages in documents, found by one Aho-Corasick automaton."""
+"""Benchmark passages in documents, found by one Aho-Corasick automaton.
+
+The automaton is over words, as numbers. Any ``size`` consecutive words of an item hold one
+of its aligned blocks of half that many, so the blocks are its patterns (an item of fewer
+than ``size`` words is one pattern): one node a word, not ``size``. A text is scanned once,
+and each match is carried on to both sides along the item's words.
+"""
 
 from __future__ import annotations
 
@@ -11,10 +17,11 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytelode.llm.common import bounded_batches, fresh_name, held
+from bytelode.llm.common import bounded_batches, fresh_name, held, written
 
-#: Bytes of benchmark text in one automaton. A larger benchmark takes several, and a pass over the documents for each.
-MAX_BYTES = 64 << 20
+#: Bytes of benchmark text in one automaton, which takes some 15 to 25 times as much memory in a Python
+#: worker. A larger benchmark takes several, and a written pass over the documents for each.
+MAX_BYTES = 16 << 20
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -28,45 +35,70 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
 
 
-def windows(text: str | None, size: int = 10) -> set[bytes]:
-    """Runs of ``size`` words; of fewer words, all of them; of none, nothing."""
-    w = words(text)
-    return {b" ".join(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
-
-
-def automaton(items: list[tuple[str, str | None]], size: int = 10):
-    """The automaton over all items' windows; each ends in (its number of words, the ids of its items)."""
-    import ahocorasick
-
-    of: dict[bytes, set[str]] = {}
-    for item, text in items:
-        for x in windows(text, size):
-            of.setdefault(x, set()).add(item)
-    machine = ahocorasick.Automaton()
-    for x, ids in of.items():
-        machine.add_word(f" {x.decode('latin-1')} ", (x.count(b" ") + 1, sorted(ids)))
-    if of:
-        machine.make_automaton()
-    return machine
-
-
-def scan(machine, text: str | None) -> tuple[int, set[int], set[str]]:
-    """(number of words, numbers of the words inside any occurrence, ids of the items found)."""
-    import numpy as np
-
-    w = words(text)
-    if not w or not len(machine):
-        return len(w), set(), set()
-    flat = b" " + b" ".join(w) + b" "
-    found = list(machine.iter(flat.decode("latin-1")))
-    if not found:
-        return len(w), set(), set()
-    spaces = np.flatnonzero(np.frombuffer(flat, dtype=np.uint8) == 32)
-    last = np.searchsorted(spaces, [end for end, _ in found]) - 1
-    edge = np.zeros(len(w) + 1, dtype=np.int64)
-    np.add.at(edge, last - np.array([n for _, (n, _) in found]) + 1, 1)
-    np.add.at(edge, last + 1, -1)
-    return len(w), set(np.flatnonzero(np.cumsum(edge[:-1])).tolist()), {i for _, (_, ids) in found for i in ids}
+class Passages:
+    """The automaton over all items' blocks, with the items' words to carry matches on."""
+
+    def __init__(self, items: list[tuple[str, str | None]], size: int = 10):
+        import ahocorasick
+
+        self.size, self.block = size, max(1, size // 2)
+        self.number: dict[bytes, int] = {}
+        same: dict[tuple[int, ...], set[str]] = {}
+        for item, text in items:
+            w = tuple(self.number.setdefault(x, len(self.number) + 1) for x in words(text))
+            if w:
+                same.setdefault(w, set()).add(item)
+        #: The distinct word sequences and the items of each.
+        self.words, self.ids = list(same), [sorted(x) for x in same.values()]
+        #: By pattern: (sequence, where in it the pattern starts).
+        self.places: list[list[tuple[int, int]]] = []
+        self.machine, known = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE), {}
+        for k, w in enumerate(self.words):
+            n = self.block if len(w) >= size else len(w)
+            for at in range(0, len(w) - n + 1, n):
+                x = w[at : at + n]
+                if x not in known:
+                    known[x] = len(self.places)
+                    self.places.append([])
+                    self.machine.add_word(x, known[x])
+                self.places[known[x]].append((k, at))
+        self.lengths = [0] * len(self.places)
+        for x, k in known.items():
+            self.lengths[k] = len(x)
+        if known:
+            self.machine.make_automaton()
+
+    def scan(self, text: str | None) -> tuple[int, set[int], set[str]]:
+        """(number of words, numbers of the words inside any occurrence, ids of the items found)."""
+        import numpy as np
+
+        found = words(text)
+        if not found or not self.places:
+            return len(found), set(), set()
+        get = self.number.get
+        ids = tuple([get(w, 0) for w in found])
+        edge, items, runs = None, set(), {}
+        for end, pattern in self.machine.iter(ids):
+            for k, at in self.places[pattern]:
+                w = self.words[k]
+                first = end - self.lengths[pattern] + 1
+                if runs.get((k, first - at), -1) >= end:
+                    continue
+                low, high, p, q = first, end + 1, at, at + end - first + 1
+                if len(w) >= self.size:
+                    while p and low and ids[low - 1] == w[p - 1]:
+                        low, p = low - 1, p - 1
+                    while q < len(w) and high < len(ids) and ids[high] == w[q]:
+                        high, q = high + 1, q + 1
+                    runs[k, first - at] = high - 1
+                    if high - low < self.size:
+                        continue
+                if edge is None:
+                    edge = np.zeros(len(ids) + 1, dtype=np.int64)
+                edge[low] += 1
+                edge[high] -= 1
+                items.update(self.ids[k])
+        return len(ids), set() if edge is None else set(np.flatnonzero(np.cumsum(edge[:-1])).tolist()), items
 
 
 def original_spans(text: str, hit: set[int]) -> list[tuple[int, int]]:
@@ -85,10 +117,10 @@ def _scanner(items: Broadcast, size: int):
 
     @F.arrow_udf(_HITS)
     def hits(texts: pa.Array) -> pa.Array:
-        machine = held("automaton", key, lambda: automaton(items.value, size))
+        passages = held("automaton", key, lambda: Passages(items.value, size))
         out = []
         for t in texts.to_pylist():
-            n, hit, ids = scan(machine, t)
+            n, hit, ids = passages.scan(t)
             out.append({"n_words": n, "n_hit": len(hit), "item_ids": sorted(ids), "spans": [{"start": a, "end": b} for a, b in original_spans(t, hit)] if hit else []})
         kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("item_ids", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
         return pa.array(out, kind)
@@ -111,11 +143,13 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, text: str = "text", siz
 
     The benchmark is the bounded side: its bytes are summed first, and the automata
     are built from shards of ``max_bytes`` at most, each sent to the workers by
-    broadcast; all usual benchmarks fit in one automaton and take one scan. With more
-    shards the documents pass each in turn, row by row and without a shuffle, and
-    n_hit is counted from the merged spans. Null and empty texts have no words and no
+    broadcast; most benchmarks fit in one automaton and take one scan. With more
+    shards the documents pass each in turn, row by row and without a shuffle, written
+    between two, so that a worker holds one automaton at a time; n_hit is then counted
+    from the merged spans. Null and empty texts have no words and no
     hits; items without words never occur; repeated items report each id once; items
-    of fewer than ``size`` words are one window. Extra columns pass through.
+    of fewer than ``size`` words are one window. Extra columns pass
+    through; a column ``to`` that is there is replaced.
     """
     bounded_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
@@ -129,6 +163,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, text: str = "text", siz
         if not n:
             docs = docs.withColumn(to, one)
             continue
+        docs = written(docs, "scanned")
         new = fresh_name(docs, "more_hits")
         docs = docs.withColumn(new, one)
         spans = _merge_spans(F.col(to)["spans"], F.col(new)["spans"])
@@ -139,7 +174,11 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, text: str = "text", siz
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without the rows that hold a benchmark passage; their columns stay as they are."""
+    """``docs`` without the rows that hold a benchmark passage; their columns stay as they are.
+
+    Rows are judged by their text alone: null and empty texts stay, rows that repeat are
+    judged alike. An empty benchmark drops nothing, an empty table stays empty.
+    """
     to = fresh_name(docs, "hits")
     return find_passages(docs, benchmark, text, to=to).where(F.col(to)["n_hit"] == 0).drop(to)
 

@@ -12,14 +12,25 @@ from bytelode.llm.common import bounded_batches, written
 from bytelode.llm.components import connected_components
 
 #: Vectors of a block; a group that comes to one task has two blocks at most.
-BLOCK = 2048
+BLOCK = 4096
+#: Vectors of a label in a cell, about.
+CELL = 1024
+#: Rows of a block whose products are held at once.
+_SLAB = 512
+#: Numbers of the sample that centroids are fitted to.
+_SAMPLE_VALUES = 16 << 20
 
 
 def unit_rows(lists):
-    """Vectors as rows of length 1 in double precision."""
+    """Vectors (an Arrow list array or lists, of one length, without nulls) as rows of length 1 in double precision."""
     import numpy as np
 
-    x = np.array(lists, dtype=np.float64)
+    if isinstance(lists, pa.ChunkedArray):
+        lists = lists.combine_chunks()
+    if isinstance(lists, pa.Array):
+        x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
+    else:
+        x = np.array(lists, dtype=np.float64)
     x /= np.abs(x).max(1, keepdims=True)  # first, so that no square is too small or large
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -44,16 +55,22 @@ def _grow(pairs, rows: int, cols: int):
     """Least member of each bipartite component of a boolean matrix, for rows and for columns."""
     import numpy as np
 
-    left, right = np.arange(rows), np.full(cols, rows + cols)
+    none = rows + cols
+    left, right = np.arange(rows, dtype=np.int32), np.full(cols, none, dtype=np.int32)
     while True:
-        new_right = np.where(pairs, left[:, None], rows + cols).min(0)
-        new_left = np.minimum(left, np.where(pairs, new_right[None, :], rows + cols).min(1))
+        new_left, new_right = left.copy(), np.full(cols, none, dtype=np.int32)
+        for k in range(0, rows, _SLAB):
+            part = slice(k, k + _SLAB)
+            np.minimum(new_right, np.where(pairs[part], left[part, None], none).min(0, initial=none), out=new_right)
+        for k in range(0, rows, _SLAB):
+            part = slice(k, k + _SLAB)
+            new_left[part] = np.minimum(left[part], np.where(pairs[part], new_right[None, :], none).min(1, initial=none))
         if (new_left == left).all() and (new_right == right).all():
             return left, right
         left, right = new_left, new_right
 
 
-def near_vectors(embeddings: DataFrame, threshold: float = 0.98, cells: int | None = None, margin: float | None = None, sample: int = 20_000, block: int = BLOCK) -> DataFrame:
+def near_vectors(embeddings: DataFrame, threshold: float = 0.98, cells: int | None = None, margin: float | None = None, sample: int = 20_000, block: int = BLOCK, sigmas: float = 4.5) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` for every row of ``embeddings(vec_id, embedding, label)``.
 
     Vectors link when their labels are equal and not null and their cosine, in double
@@ -64,16 +81,20 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.98, cells: int | No
     are rows of their own; null vec_ids are never a component's least unless alone.
 
     Equal vectors of a label are one class first. Centroids are fitted to a bounded
-    sample of the classes (``sample`` rows); every class has the cell of its nearest
-    centroid for home and is a guest wherever it lies within ``margin`` of the plane
-    between the two centroids. The default margin is the chord of the threshold's angle:
-    no pair is lost, as a vector nearer to its own centroid than that cannot reach one
-    of the other cell. (Spread-out vectors then visit many cells; a smaller margin trades
-    recall for that, and 0.08 finds over 99 % of links whose difference has no direction.)
-    Each class counts its links in its home cell. Cells of a label are cut into
-    blocks of about ``block`` rows, and tasks get pairs of blocks: no label, cell or
-    group of near copies comes whole to one, and a task returns a count and a root for
-    each row, never pairs.
+    sample of the classes (``sample`` rows, fewer of very long vectors); there are as many
+    as leave a label about a thousand vectors a cell, so they grow with the table, to a
+    sixteenth of the sample at most. Every class has the cell of its nearest centroid for
+    home and is a guest wherever it lies within ``margin`` of the plane between the two
+    centroids. With the chord of the threshold's angle for margin no pair is lost, as a
+    vector nearer to its own centroid than that cannot reach one of the other cell; but
+    spread-out vectors then visit a good part of all cells. The default is the smaller of
+    that chord and ``sigmas`` standard deviations of how far a step of the chord in a random
+    direction of the space leads towards a plane (the chord over the root of the dimension):
+    links whose difference has no direction are then lost with a chance of a few in a
+    million, at any size of the table. Each class counts its links in its home cell. Cells of
+    a label are cut into blocks of about ``block`` rows, and tasks get pairs of blocks: no
+    label, cell or group of near copies comes whole to one, and a task returns a count and a
+    root for each row, never pairs.
     """
     import numpy as np
 
@@ -85,35 +106,43 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.98, cells: int | No
     valid = F.col("label").isNotNull() & e.isNotNull() & (F.size(e) > 0) & finite & F.exists(e, lambda v: v != 0)
     rows = embeddings.select("vec_id", "label", "embedding")
     classes = written(rows.where(valid).groupBy("label", "embedding").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("n")).withColumn("cid", F.monotonically_increasing_id()), "vector-classes")
+    by_label = classes.groupBy("label", F.size("embedding").alias("d")).count()
+    most = {r["d"]: r["n"] for r in by_label.groupBy("d").agg(F.max("count").alias("n")).orderBy(F.desc("n")).limit(64).collect()}
+    sample = max(1, min(sample, _SAMPLE_VALUES // max(most, default=1)))
     drawn = [r[0] for r in classes.orderBy(F.xxhash64("embedding"), "cid").limit(sample).select("embedding").collect()]
+    chord = math.sqrt(max(0.0, 2 - 2 * threshold))
     centroids = {}
     for d in {len(x) for x in drawn}:
         x = unit_rows([v for v in drawn if len(v) == d])
-        centroids[d] = spherical_kmeans(x, cells or max(1, min(32, len(x) // 256)))
-    chord = math.sqrt(max(0.0, 2 - 2 * threshold)) if margin is None else margin
+        c = spherical_kmeans(x, cells or max(1, min(most.get(d, 1) // CELL, len(x) // 16)))
+        apart = np.sqrt(np.maximum(2 - 2 * c @ c.T, 0))
+        centroids[d] = c, apart, min(chord, sigmas * chord / math.sqrt(d)) if margin is None else margin
     shared = sc.broadcast(centroids)
 
     def assign(batches):
         for batch in batches:
             label, vectors, cid, n = (batch.column(k) for k in range(4))
-            lists = vectors.to_pylist()
+            length = np.array(vectors.value_lengths().to_pylist(), dtype=np.int64)
             out: list[list] = [[], [], []]
-            for d in {len(v) for v in lists}:
-                at = [i for i, v in enumerate(lists) if len(v) == d]
-                c = shared.value.get(d)
-                if c is None:  # of a length that the sample lacks: one cell
-                    out = [a + b for a, b in zip(out, [at, [0] * len(at), [True] * len(at)], strict=True)]
+            for d in np.unique(length).tolist():
+                at = np.flatnonzero(length == d)
+                fitted = shared.value.get(d)
+                if fitted is None:  # of a length that the sample lacks: one cell
+                    out = [a + [b] for a, b in zip(out, [at, np.zeros(len(at), dtype=np.int64), np.ones(len(at), dtype=bool)], strict=True)]
                     continue
-                x = unit_rows([lists[i] for i in at])
-                dots = x @ c.T
-                home = dots.argmax(1)
-                apart = np.linalg.norm(c[home][:, None, :] - c[None, :, :], axis=2) if len(c) * len(x) * d < 1 << 24 else np.stack([np.linalg.norm(c - c[h], axis=1) for h in home])
-                away = (dots.max(1, keepdims=True) - dots) / np.maximum(apart, 1e-300)
-                away[np.arange(len(x)), home] = 0
-                i, j = np.nonzero(away <= chord + 1e-9)
-                out = [a + b for a, b in zip(out, [[at[k] for k in i], j.tolist(), (home[i] == j).tolist()], strict=True)]
-            take = pa.array(out[0], pa.int64())
-            yield pa.RecordBatch.from_arrays([label.take(take), pa.array(out[1], pa.int32()), pa.array(out[2], pa.bool_()), cid.take(take), n.take(take), vectors.take(take)], names=["label", "cell", "home", "cid", "n", "embedding"])
+                c, apart, near = fitted
+                x = unit_rows(vectors.take(pa.array(at)))
+                for k in range(0, len(at), _SLAB):
+                    dots = x[k : k + _SLAB] @ c.T
+                    home = dots.argmax(1)
+                    away = (dots.max(1, keepdims=True) - dots) / np.maximum(apart[home], 1e-300)
+                    away[np.arange(len(home)), home] = 0
+                    i, j = np.nonzero(away <= near + 1e-9)
+                    out = [a + [b] for a, b in zip(out, [at[k + i], j, home[i] == j], strict=True)]
+            rows, cell, is_home = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in out)
+            for k in range(0, len(rows), 4096):
+                take = pa.array(rows[k : k + 4096], pa.int64())
+                yield pa.RecordBatch.from_arrays([label.take(take), pa.array(cell[k : k + 4096], pa.int32()), pa.array(is_home[k : k + 4096], pa.bool_()), cid.take(take), n.take(take), vectors.take(take)], names=["label", "cell", "home", "cid", "n", "embedding"])
 
     label_type = classes.schema["label"].dataType.simpleString()
     vector_type = classes.schema["embedding"].dataType.simpleString()
@@ -127,11 +156,14 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.98, cells: int | No
     as_any = cut.withColumn("other", others).select(*of_cell, F.col("other").alias("b1"), F.col("own").alias("b2"), F.lit(False).alias("asks"), "cid", "n", "embedding")
 
     def compare(table: pa.Table) -> pa.Table:
-        asks = np.array(table.column("asks").to_pylist(), dtype=bool)
+        asks = table.column("asks").to_numpy().astype(bool)
         cid, n = table.column("cid").to_numpy(), table.column("n").to_numpy()
-        x = unit_rows(table.column("embedding").to_pylist()) if len(asks) else np.zeros((0, 1))
-        near = x[asks] @ x[~asks].T >= threshold
-        counts = near @ n[~asks]
+        x = unit_rows(table.column("embedding")) if len(asks) else np.zeros((0, 1))
+        ours, theirs = x[asks], x[~asks].T
+        near = np.zeros((len(ours), theirs.shape[1]), dtype=bool)
+        for k in range(0, len(ours), _SLAB):
+            near[k : k + _SLAB] = ours[k : k + _SLAB] @ theirs >= threshold
+        counts = np.concatenate([near[k : k + _SLAB] @ n[~asks] for k in range(0, len(ours), _SLAB)] or [np.zeros(0, dtype=np.int64)])
         left, right = _grow(near, int(asks.sum()), int((~asks).sum()))
         homes, members = cid[asks], cid[~asks]
         ok = counts > 0

@@ -200,6 +200,15 @@ def test_decontamination_matches_brute_force(spark):
             assert (r.n_words, r.n_hit, len(r.item_ids), hashlib.sha256(",".join(r.item_ids).encode()).hexdigest()) == want
             if r.n_hit:
                 assert sum(len(decontaminate.words(r.text[s.start : s.end])) for s in r.spans) == r.n_hit
+    rng = random.Random(8)
+    vocabulary = "a b c".split()
+    for size in (1, 2, 3, 10):
+        many = {k: " ".join(rng.choices(vocabulary, k=rng.randrange(14))) for k in range(6)}
+        passages = decontaminate.Passages([(str(k), t) for k, t in many.items()], size)
+        for _ in range(60):
+            text = " ".join(rng.choices([*vocabulary, "x"], k=rng.randrange(40))) + " " + many[rng.randrange(6)]
+            n, hit, ids = passages.scan(text)
+            assert (n, len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()) == decontaminate.brute_force(text, many, size)
     kept = decontaminate.drop_contaminated(docs(spark, rows), bench)
     assert kept.columns == docs(spark, []).columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "4", "5", "6"]
@@ -235,6 +244,21 @@ def test_embeddings_match_brute_force(spark, block):
     assert embeddings.near_vectors(df.limit(0)).count() == 0
 
 
+def test_embedding_links_are_found_in_many_cells(spark):
+    rng = np.random.default_rng(9)
+    rows, d = [], 64
+    for k in range(500):
+        c = rng.normal(size=d)
+        rows += [(len(rows) + m, (c + (m > 0) * rng.normal(size=d) * np.linalg.norm(c) * rng.uniform(0.1, 0.22) / np.sqrt(d)).tolist(), k % 2) for m in range(1 + k % 4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    want = {(i, n) for i, n, *_ in vector_brute_force(rows)}
+    assert sum(n for _, n in want) > 600
+    for cells in (1, 32):
+        got = {(r.vec_id, r.n_links) for r in embeddings.near_vectors(df, cells=cells).collect()}
+        assert sum(n for _, n in got) >= 0.999 * sum(n for _, n in want) and len(got & want) >= 0.999 * len(want)
+    assert {(r.vec_id, r.n_links) for r in embeddings.near_vectors(df, cells=32, margin=0.2).collect()} == want
+
+
 def test_piece_transducer_matches_the_library(spark):
     import sentencepiece
 
