@@ -63,6 +63,11 @@ def bounded_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 16)
         spark.conf.set(key, str(megabytes << 20))
 
 
+def read_tasks(spark: SparkSession, n_bytes: int) -> int:
+    """Tasks for reading so many bytes of payload: 64 MB each, but no fewer than the cluster runs at once unless they are under 1 MB."""
+    return max(1, -(-n_bytes // (64 << 20)), min(spark.sparkContext.defaultParallelism, -(-n_bytes // (1 << 20))))
+
+
 def fresh_name(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have, whatever its case."""
     taken = {c.lower() for c in df.columns}

@@ -159,7 +159,8 @@ def read_keys(keys: DataFrame) -> DataFrame:
     """Look up ``(shard, doc_id, copy)`` in the shards' files: ``(shard, doc_id, copy, position, n_tokens, ids_crc32)``.
 
     Keys are brought to their shard and each is found by hash and fingerprint; payloads
-    next to each other are read together. Absent keys give no row. ids_crc32 is over the
+    next to each other are read together. Tasks are as many as shards. Absent keys give no row,
+    keys that repeat repeated rows, an empty table none. ids_crc32 is over the
     ids as little-endian unsigned 32-bit numbers.
     """
 
@@ -193,11 +194,16 @@ def read_keys(keys: DataFrame) -> DataFrame:
 
     kinds = [pa.string(), *[pa.int64()] * 5]
     cols = ["shard", "doc_id", "copy", "position", "n_tokens", "ids_crc32"]
-    dealt = keys.select("shard", "doc_id", "copy").repartition("shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "copy")
+    shards = max(1, keys.select("shard").distinct().count())
+    dealt = keys.select("shard", "doc_id", "copy").repartition(shards, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "copy")
     return dealt.mapInArrow(read, "shard string, doc_id long, copy long, position long, n_tokens long, ids_crc32 long")
 
 
 def stored_documents(manifest: DataFrame) -> DataFrame:
-    """``(doc_id, start, n_tokens, ids_crc32)`` of every stored document, read back from the files."""
+    """``(doc_id, start, n_tokens, ids_crc32)`` of every stored document, read back from the files.
+
+    ``start`` counts the ids of all documents before, in order of doc_id (null ids first, rows
+    that repeat an id in turn). An empty manifest gives an empty result.
+    """
     found = read_keys(manifest).join(shard_starts(manifest), "shard")
     return found.select("doc_id", (F.col("base") + F.col("position")).alias("start"), "n_tokens", "ids_crc32")

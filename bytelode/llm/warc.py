@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytelode.llm.common import bounded_batches, fresh_dir, open_fs, written
+from bytelode.llm.common import bounded_batches, fresh_dir, open_fs, read_tasks, written
 
 #: Payloads of fewer bytes are stored each time, however often they occur.
 LEAST_REVISIT = 1000
@@ -129,9 +129,11 @@ def write_archives(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
 def read_records(selected: DataFrame, payloads: bool = True) -> DataFrame:
     """The records that rows of the index select, parsed from the archives.
 
-    Rows are brought together by file and stretch of 32 MB, sorted by offset, and ranges
-    that lie within 64 KB of each other are read at once, 8 MB at most (a longer record
-    alone). With ``payloads`` false the payload column is left out.
+    Rows are brought together by file and stretch of 4 MB, in as many tasks as the bytes
+    that they select ask for, sorted by offset, and ranges that lie within 64 KB of each
+    other are read at once, 8 MB at most (a longer record alone). With ``payloads`` false
+    the payload column is left out. Index rows that repeat give repeated records, an empty
+    selection none; a record whose payload does not match its digest is an error.
     """
 
     def read(batches):
@@ -155,6 +157,7 @@ def read_records(selected: DataFrame, payloads: bool = True) -> DataFrame:
     cols = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"] + ["payload"] * payloads
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()] + [pa.binary()] * payloads
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads
-    stretch = F.shiftright("offset", 25)
-    dealt = selected.select("file", "offset", "length").repartition("file", stretch).sortWithinPartitions("file", "offset")
+    stretch = F.shiftright("offset", 22)
+    tasks = read_tasks(selected.sparkSession, selected.agg(F.sum("length")).first()[0] or 0)
+    dealt = selected.select("file", "offset", "length").repartition(tasks, "file", stretch).sortWithinPartitions("file", "offset")
     return dealt.mapInArrow(read, schema)
