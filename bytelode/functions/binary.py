@@ -35,12 +35,76 @@ def sint(c: Column, offset: int, width: int, big: bool = False) -> Column:
     return v - F.when(v >= 1 << 8 * width - 1, F.lit(1 << 8 * width)).otherwise(F.lit(0))
 
 
-def uint_bytes(v: Column, width: int, big: bool = False) -> Column:
-    """The bytes of an unsigned number; NULL if it is negative or too wide."""
-    digits = F.lpad(F.hex(v.cast("long")), 2 * width, "0")
+def byte_at(c: Column, offset: Column) -> Column:
+    """The byte at a place, as BIGINT; NULL past the end."""
+    return F.when((offset >= 0) & (offset < F.octet_length(c)), F.conv(F.hex(F.substring(c, (offset + 1).cast("int"), F.lit(1))), 16, 10).cast("bigint"))
+
+
+def word_at(c: Column, offset: Column, width: int = 4, big: bool = False) -> Column:
+    """An unsigned number of 1 to 7 bytes at a place that differs by row; NULL past the end."""
+    at = range(width) if big else reversed(range(width))
+    digits = F.concat(*(F.hex(F.substring(c, (offset + (k + 1)).cast("int"), F.lit(1))) for k in at))
+    return F.when((offset >= 0) & (F.octet_length(c) >= offset.cast("long") + width), F.conv(digits, 16, 10).cast("bigint"))
+
+
+def words_at(c: Column, offset: Column, count: Column, width: int = 4, big: bool = False) -> Column:
+    """``count`` unsigned numbers, one after the other; none for a count below one."""
+    none = F.array().cast("array<bigint>")
+    return F.when(count >= 1, F.transform(F.sequence(F.lit(0), count - 1), lambda i: word_at(c, offset + i * width, width, big))).otherwise(none)
+
+
+def uints(c: Column, offset: int, count: int, width: int, big: bool = False) -> Column:
+    """A fixed array of unsigned numbers; NULL unless all of it is there."""
+    return F.when(F.octet_length(c) >= offset + count * width, F.array(*(uint(c, offset + k * width, width, big) for k in range(count))))
+
+
+def sints(c: Column, offset: int, count: int, width: int, big: bool = False) -> Column:
+    """A fixed array of signed numbers; NULL unless all of it is there."""
+    return F.when(F.octet_length(c) >= offset + count * width, F.array(*(sint(c, offset + k * width, width, big) for k in range(count))))
+
+
+def f32(c: Column, offset: int, big: bool = False) -> Column:
+    """A single float as ``(bits, value)``: its bit pattern as it is, and what it stands for."""
+    bits = uint(c, offset, 4, big)
+    exponent, fraction = F.shiftright(bits, 23).bitwiseAND(F.lit(255)), bits.bitwiseAND(F.lit(0x7FFFFF))
+    size = (
+        F.when(exponent == 0, fraction * 2.0**-149)
+        .when(exponent < 255, (fraction + (1 << 23)) * F.pow(F.lit(2.0), exponent - 150))
+        .when(fraction == 0, F.lit(float("inf")))
+        .when(fraction > 0, F.lit(float("nan")))
+    )
+    value = F.when(F.shiftright(bits, 31) == 1, -size).otherwise(size)
+    return F.when(bits.isNotNull(), F.struct(bits.alias("bits"), value.alias("value")))
+
+
+def floats(c: Column, offset: int, count: int, big: bool = False) -> Column:
+    """A fixed array of single floats; NULL unless all of it is there."""
+    return F.when(F.octet_length(c) >= offset + 4 * count, F.array(*(f32(c, offset + 4 * k, big) for k in range(count))))
+
+
+def _hex_bytes(digits: Column, width: int, big: bool) -> Column:
     parts = [F.substring(digits, 2 * i + 1, 2) for i in range(width)]
-    fits = (v >= 0) & (v < (1 << 8 * width)) if width < 8 else v >= 0
-    return F.when(fits, F.unhex(F.concat(*(parts if big else reversed(parts)))))
+    return F.unhex(F.concat(*(parts if big else reversed(parts))))
+
+
+def uint_bytes(v: Column, width: int, big: bool = False) -> Column:
+    """The bytes of an unsigned number of 1 to 8 bytes (BIGINT or DECIMAL(20,0)); NULL if it is negative or too wide."""
+    whole = v.cast("decimal(20,0)")
+    return F.when((whole >= 0) & (whole < F.lit(str(1 << 8 * width)).cast("decimal(20,0)")), _hex_bytes(F.lpad(F.conv(whole.cast("string"), 10, 16), 2 * width, "0"), width, big))
+
+
+def sint_bytes(v: Column, width: int, big: bool = False) -> Column:
+    """The bytes of a signed number of 1 to 8 bytes in two's complement; NULL if it is too wide."""
+    low, high = -(1 << 8 * width - 1), (1 << 8 * width - 1) - 1
+    v = v.cast("long")
+    return F.when((v >= low) & (v <= high), _hex_bytes(F.right(F.lpad(F.hex(v), 16, "0"), F.lit(2 * width)), width, big))
+
+
+def array_bytes(values: Column, width: int, signed: bool = False, big: bool = False) -> Column:
+    """The bytes of an array of numbers; NULL if any does not fit."""
+    one = sint_bytes if signed else uint_bytes
+    packed = F.transform(values, lambda v: F.hex(one(v, width, big)))
+    return F.when(~F.exists(packed, lambda x: x.isNull()), F.unhex(F.array_join(packed, "")))
 
 
 def splice(c: Column, offset, replacement: Column) -> Column:
@@ -55,10 +119,20 @@ def scaled(c: Column, offset: int, unit: int, base: int = 0) -> Column:
     return uint(c, offset, 4) * unit + base
 
 
+def div(a: Column, b: int | Column) -> Column:
+    """Whole division of whole numbers, towards zero."""
+    return F.call_function("div", a, b if isinstance(b, Column) else F.lit(b))
+
+
 def unscaled(v: Column, unit: int, base: int = 0) -> Column:
     """The stored count of a byte value; NULL if it is no multiple, below ``base`` or too wide."""
     rest = v - base
-    return F.when((rest >= 0) & (rest % unit == 0) & (rest < unit << 32), F.floor(rest / unit).cast("long"))
+    return F.when((rest >= 0) & (rest % unit == 0) & (rest < unit << 32), div(rest, unit))
+
+
+def put_scaled(c: Column, offset: int, v: Column, unit: int, base: int = 0) -> Column:
+    """The carrier with a byte value stored as a count of units; NULL, and nothing changed, if it cannot be."""
+    return splice(c, offset, uint_bytes(unscaled(v, unit, base), 4))
 
 
 def zeros(n: Column) -> Column:
@@ -85,6 +159,26 @@ def fixed_string(c: Column, width: int) -> Column:
     return F.when(F.octet_length(c) >= width, F.substring(c, F.lit(1), n.cast("int")))
 
 
+def string_field(c: Column, offset: int, width: int, policy: str) -> Column:
+    """A positioned field's bytes by policy: ``nul`` (NULL without a NUL), ``nul_or_full``, or ``padded`` (NULL unless all after the NUL is zero)."""
+    field = span(c, offset, width)
+    n = nul_length(field, width)
+    if policy == "nul":
+        return F.when(n.isNotNull(), F.substring(field, F.lit(1), n.cast("int")))
+    value = F.substring(field, F.lit(1), F.coalesce(n, F.lit(width)).cast("int"))
+    if policy == "nul_or_full":
+        return F.when(field.isNotNull(), value)
+    return F.when(field == F.concat(value, zeros(F.lit(width) - F.octet_length(value))), value)
+
+
+def put_string(c: Column, offset: int, width: int, value: Column, policy: str) -> Column:
+    """The carrier with a field written by policy: ``nul`` keeps what follows the value's NUL, ``padded`` and ``nul_or_full`` fill with NULs; NULL if it does not fit."""
+    if policy == "nul":
+        fits = (F.octet_length(value) < width) & (F.position(F.unhex(F.lit("00")), value) == 0) & (F.octet_length(c) >= offset + width)
+        return F.when(fits, splice(c, offset, F.concat(value, F.unhex(F.lit("00")))))
+    return F.when(F.octet_length(c) >= offset + width, splice(c, offset, padded(value, width, policy == "padded")))
+
+
 def prefixed(c: Column, width: int) -> Column:
     """Bytes after a length of 1 or 2 bytes (little-endian)."""
     return span(c, width, uint(c, 0, width))
@@ -97,9 +191,31 @@ def padded(value: Column, width: int, need_nul: bool = True) -> Column:
     return F.when(fits & (F.position(F.unhex(F.lit("00")), value) == 0), F.concat(value, zeros(F.greatest(F.lit(width) - n, F.lit(0)))))
 
 
-def align_up(v: Column, to: int) -> Column:
-    """The next multiple; NULL where ``to`` is not positive."""
-    return F.when(F.lit(to) > 0, F.floor((v + (to - 1)) / to).cast("long") * to) if to > 0 else F.lit(None).cast("long")
+def align_up(v: Column, to: int, power_of_two: bool = False) -> Column:
+    """The next multiple; NULL where ``to`` is not positive (or no power of two, if it must be one) and past BIGINT."""
+    if to <= 0 or power_of_two and to & (to - 1):
+        return F.lit(None).cast("long")
+    v = v.cast("long")
+    return F.try_add(v, F.pmod(F.lit(to).cast("long") - F.pmod(v, F.lit(to).cast("long")), F.lit(to).cast("long")))
+
+
+def monotone_bounded(boundaries: Column, minimum: int, maximum: int, alignment: int) -> Column:
+    """Whether boundaries never fall, lie within bounds and are aligned to a power of two."""
+    if alignment <= 0 or alignment & (alignment - 1) or minimum > maximum:
+        return F.lit(False)
+    inside = F.forall(boundaries, lambda x: x.between(minimum, maximum) & (x % alignment == 0))
+    pairs = F.arrays_zip(F.slice(boundaries, F.lit(1), F.greatest(F.size(boundaries) - 1, F.lit(0))).alias("a"), F.slice(boundaries, F.lit(2), F.greatest(F.size(boundaries) - 1, F.lit(0))).alias("b"))
+    return inside & F.forall(pairs, lambda p: p["a"] <= p["b"])
+
+
+def extent_contains(start: Column, size: Column, place: Column) -> Column:
+    return (place >= start) & (place - start < size)
+
+
+def audit_extent(start: Column, size: Column, available: Column) -> Column:
+    """``ok``, ``overflow`` (the end is past BIGINT) or ``outside`` of a declared extent in what is there."""
+    end = F.try_add(start.cast("long"), size.cast("long"))
+    return F.when(end.isNull(), "overflow").when((start < 0) | (size < 0) | (end > available), "outside").otherwise("ok")
 
 
 def test_bit(word: Column, bit: int) -> Column:
@@ -127,9 +243,10 @@ def zero_one(v: Column) -> Column:
 
 
 def contiguous_mask(mask: Column) -> Column:
-    """Whether the set bits of a 32-bit mask are one unbroken run."""
-    low = mask.bitwiseAND(-mask)
-    return (mask != 0) & ((mask + low).bitwiseAND(mask) == 0)
+    """Whether the set bits of a 32-bit mask (signed or not) are one unbroken run."""
+    m = mask.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
+    low = m.bitwiseAND(-m)
+    return (m != 0) & ((m + low).bitwiseAND(m) == 0)
 
 
 def safe_path(path: Column, most_bytes: int = 4096, most_depth: int = 32) -> Column:
@@ -159,3 +276,16 @@ def half_value(word: Column) -> Column:
         .when(fraction > 0, F.lit(float("nan")))
     )
     return F.when(w.bitwiseAND(F.lit(0x8000)) != 0, -size).otherwise(size)
+
+
+def adler32(c: Column) -> Column:
+    """Adler-32 of a carrier, by its sums of bytes and of running sums; 1 for no bytes. Exact for carriers of up to 200 million bytes."""
+    n = F.octet_length(c)
+    start = F.struct(F.lit(1).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
+
+    def step(s: Column, i: Column) -> Column:
+        a = s["a"] + F.conv(F.hex(F.substring(c, i, F.lit(1))), 16, 10).cast("long")
+        return F.struct(a.alias("a"), (s["b"] + a).alias("b"))
+
+    whole = F.aggregate(F.sequence(F.lit(1), n), start, step, lambda s: (s["b"] % 65521) * 65536 + s["a"] % 65521)
+    return F.when(n == 0, F.lit(1).cast("long")).otherwise(whole)

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bytelode.functions.binary import bit_range
+from bytelode.functions.binary import bit_range, byte_at, div, words_at
 
 
 def widen(v: Column, bits: int) -> Column:
@@ -42,6 +42,75 @@ def expand_indices4(c: Column, count: Column) -> Column:
     return F.when(F.octet_length(c) == 0, F.array().cast("array<int>")).otherwise(F.slice(F.flatten(F.transform(pairs, lambda b: F.array(b.bitwiseAND(F.lit(15)), F.shiftright(b, 4)))), F.lit(1), count))
 
 
+def expand_indices8(c: Column, count: Column) -> Column:
+    """Palette indices of a byte each, cut to ``count``."""
+    every = F.transform(F.sequence(F.lit(1), F.octet_length(c)), lambda i: F.conv(F.hex(F.substring(c, i, F.lit(1))), 16, 10).cast("int"))
+    return F.when(F.octet_length(c) == 0, F.array().cast("array<int>")).otherwise(F.slice(every, F.lit(1), count))
+
+
+def palette_colours(indices: DataFrame, palettes: DataFrame, key: list[str]) -> DataFrame:
+    """Indices looked up in palettes, in order: ``(*key, colours, failed_at)``.
+
+    ``indices(*key, palette_id, indices)`` meet ``palettes(palette_id, index, colour)`` by palette; the
+    first index that a palette lacks stops its row, whose colours are then NULL. A palette is
+    gathered as a map, bounded by its index width.
+    """
+    maps = palettes.groupBy("palette_id").agg(F.map_from_entries(F.collect_list(F.struct("index", "colour"))).alias("colours"))
+    met = indices.join(maps, "palette_id", "left")
+    found = F.transform("indices", lambda i: F.element_at("colours", i))
+    failed = F.array_position(F.transform(found, lambda x: x.isNull()), True) - 1
+    met = met.withColumns({"found": found}).withColumn("failed", F.when(F.col("found").isNull(), F.lit(0).cast("long")).otherwise(F.when(F.exists("found", lambda x: x.isNull()), failed)))
+    return met.select(*key, F.when(F.col("failed").isNull(), F.col("found")).alias("colours"), F.col("failed").alias("failed_at"))
+
+
+def masked_texel(texel: Column, masks: tuple[int, int, int, int]) -> Column:
+    """A texel's red, green, blue and alpha by contiguous masks; a channel without a mask is 0, alpha then 255."""
+    out = []
+    for k, mask in enumerate(masks):
+        if not mask:
+            out.append(F.lit(255 if k == 3 else 0))
+            continue
+        low = (mask & -mask).bit_length() - 1
+        bits = (mask >> low).bit_length()
+        v = F.shiftright(texel.bitwiseAND(F.lit(mask)), low)
+        out.append(widen(v, bits).cast("int") if bits <= 8 else F.shiftright(v, bits - 8).cast("int"))
+    return F.array(*out)
+
+
+def masked_texels(c: Column, width: Column, height: Column, bits: int, masks: tuple[int, int, int, int]) -> Column:
+    """Tight little-endian texels of 8, 16, 24 or 32 bits as RGBA arrays; NULL where the bytes do not cover the image."""
+    if bits not in (8, 16, 24, 32):
+        raise ValueError("texels are of 8, 16, 24 or 32 bits")
+    count = width.cast("long") * height.cast("long")
+    words = words_at(c, F.lit(0), count.cast("int"), bits // 8)
+    return F.when(F.octet_length(c) >= count * (bits // 8), F.transform(words, lambda x: masked_texel(x, masks)))
+
+
+def bit_rows(c: Column, width: Column, height: Column) -> Column:
+    """Rows of one bit a pixel as an array of bytes, each of whole bytes; NULL unless the bytes are exactly theirs, or without width."""
+    stride = div(width + 7, 8).cast("int")
+    rows = F.when(height >= 1, F.transform(F.sequence(F.lit(0), height - 1), lambda y: F.substring(c, y * stride + 1, stride))).otherwise(F.array().cast("array<binary>"))
+    return F.when((stride > 0) & (F.octet_length(c).cast("long") == stride.cast("long") * height), rows)
+
+
+def bit_pixel(rows: Column, width: Column, x: Column, y: Column) -> Column:
+    """Whether a pixel of such rows is set, the high bit first; outside, it is not."""
+    inside = (x >= 0) & (x < width) & (y >= 0) & (y < F.size(rows))
+    byte = byte_at(F.get(rows, y), div(x, 8))
+    return F.coalesce(inside & (F.call_function("getbit", byte, (F.lit(7) - x % 8).cast("int")) == 1), F.lit(False))
+
+
+def rgba_length(width: Column, height: Column, most: int) -> Column:
+    """Bytes of an RGBA image; NULL without area, past BIGINT or over ``most``."""
+    n = F.try_multiply(F.try_multiply(width.cast("long"), height.cast("long")), F.lit(4).cast("long"))
+    return F.when((width > 0) & (height > 0) & (n <= most), n)
+
+
+def pcm_frames(samples: Column, channels: Column, rate: Column) -> Column:
+    """Frames of interleaved samples; NULL without channels or rate, or where the last frame is not whole."""
+    return F.when((channels > 0) & (rate > 0) & (F.pmod(samples, channels) == 0), div(samples, channels))
+
+
 def decode_blocks(kind: str):
     """An Arrow UDF from (blocks, width, height) to RGBA bytes; NULL where the bytes do not cover the image.
 

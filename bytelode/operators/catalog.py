@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bytelode.sources.scratch import written
 
 _ASCII_CASE = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -16,6 +17,10 @@ def _in_role(path: Column, parent: Column) -> Column:
     return F.endswith(F.translate(F.concat(F.lit("/"), folder), *_ASCII_CASE), F.translate(F.concat(F.lit("/"), parent), *_ASCII_CASE))
 
 
+#: Rows of a catalogue that detection folds into its expression.
+MOST_PROBES = 10_000
+
+
 def detect(carriers: DataFrame, probes: DataFrame, hints: DataFrame) -> DataFrame:
     """One row a carrier: ``(carrier_kind, carrier_id, status, format, method, n_contenders)``.
 
@@ -26,28 +31,45 @@ def detect(carriers: DataFrame, probes: DataFrame, hints: DataFrame) -> DataFram
     (``parent``), in two more columns. A format's evidence
     is its best probe (magic over structural, then the longer); the highest precedence
     stays; of several formats one is selected only if exactly one has the carrier's
-    extension as a hint. The catalogue is the small side by its nature, and the planner
-    broadcasts it within its threshold.
+    extension as a hint.
+
+    The catalogue, of ``MOST_PROBES`` rows at most (more are an error), becomes an array in
+    the expression, so each carrier is judged where it is read, without a shuffle.
     """
-    magic = F.substring("content", F.col("at") + 1, F.octet_length("digits")) == F.col("digits")
-    structural = F.contains(F.col("content"), F.col("digits"))
-    fits = F.when(F.col("kind") == "magic", magic).when(F.col("kind") == "structural", structural)
-    if {"extension", "parent"} <= set(probes.columns) and "path" in carriers.columns:
-        asked = (F.translate("ext", *_ASCII_CASE) == F.translate("extension", *_ASCII_CASE)) & _in_role(F.col("path"), F.col("parent"))
-        fits = fits.when(F.col("kind") == "contextual", asked & structural)
-    found = carriers.join(probes, fits).withColumn("kind", F.expr("if(kind = 'contextual', 'structural', kind)"))
-    strength = F.struct(F.expr("int(kind = 'magic')").alias("m"), F.octet_length("digits").alias("n"))
-    key = ["carrier_kind", "carrier_id"]
-    best = found.groupBy(*key, "ext", "format", "precedence").agg(F.max_by("kind", strength).alias("kind"))
-    top = best.withColumn("top", F.max("precedence").over(Window.partitionBy(*key))).where("precedence = top")
-    hinted = top.join(hints.distinct(), ["format", "ext"], "left_semi").select(*key, "format", F.lit(True).alias("hinted"))
-    judged = top.join(hinted, [*key, "format"], "left")
-    n_hinted = F.count("hinted")
-    one = F.when(F.count("*") == 1, F.struct(F.max("format").alias("format"), F.max("kind").alias("kind"))).when(n_hinted == 1, F.struct(F.max(F.when(F.col("hinted"), F.col("format"))).alias("format"), F.max(F.when(F.col("hinted"), F.col("kind"))).alias("kind")))
-    by = judged.groupBy(*key).agg(one.alias("one"), F.count("*").alias("n_contenders"))
-    back = carriers.select(*key).join(by, key, "left")
-    status = F.when(F.col("n_contenders").isNull(), "unknown").when(F.col("one").isNull(), "ambiguous").otherwise("selected")
-    return back.select(*key, status.alias("status"), F.col("one.format").alias("format"), F.col("one.kind").alias("method"), F.coalesce("n_contenders", F.lit(0)).alias("n_contenders"))
+    context = {"extension", "parent"} <= set(probes.columns) and "path" in carriers.columns
+    known = probes.select("format", "precedence", "kind", "at", "digits", *(("extension", "parent") if context else ())).limit(MOST_PROBES + 1).collect()
+    known_hints = hints.select("format", "ext").distinct().limit(MOST_PROBES + 1).collect()
+    if max(len(known), len(known_hints)) > MOST_PROBES:
+        raise ValueError(f"a catalogue of more than {MOST_PROBES} probes or hints")
+
+    def literal(r) -> Column:
+        fields = {"format": r["format"], "precedence": r["precedence"], "kind": r["kind"], "at": r["at"], "digits": bytes(r["digits"]).hex()}
+        cols = [F.unhex(F.lit(v)).alias(k) if k == "digits" else F.lit(v).alias(k) for k, v in fields.items()]
+        return F.struct(*cols, *(F.lit(r[k] if context else None).cast("string").alias(k) for k in ("extension", "parent")))
+
+    def fits(p: Column) -> Column:
+        magic = F.substring(F.col("content"), p["at"] + 1, F.octet_length(p["digits"])) == p["digits"]
+        holds = F.contains(F.col("content"), p["digits"])
+        found = F.when(p["kind"] == "magic", magic).when(p["kind"] == "structural", holds)
+        if context:
+            asked = (F.translate("ext", *_ASCII_CASE) == F.translate(p["extension"], *_ASCII_CASE)) & _in_role(F.col("path"), p["parent"])
+            found = found.when(p["kind"] == "contextual", asked & holds)
+        return F.coalesce(found, F.lit(False))
+
+    of = "array<struct<format: string, precedence: int, kind: string, at: int, digits: binary, extension: string, parent: string>>"
+    all_probes = (F.array(*map(literal, known)) if known else F.array()).cast(of)
+    all_hints = (F.array(*(F.struct(F.lit(r["format"]).alias("format"), F.lit(r["ext"]).alias("ext")) for r in known_hints)) if known_hints else F.array()).cast("array<struct<format: string, ext: string>>")
+    hits = carriers.withColumn("__hits", F.filter(all_probes, fits))
+    best = F.array_max(F.transform("__hits", lambda p: p["precedence"]))
+    top = hits.withColumn("__top", F.filter("__hits", lambda p: p["precedence"] == best))
+    formats = top.withColumn("__formats", F.array_distinct(F.transform("__top", lambda p: p["format"])))
+    hinted = F.filter("__formats", lambda f: F.exists(all_hints, lambda h: (h["format"] == f) & (h["ext"] == F.col("ext"))))
+    n = F.size("__formats")
+    judged = formats.withColumn("__hinted", hinted).withColumn("__one", F.when(n == 1, F.get("__formats", F.lit(0))).when(F.size("__hinted") == 1, F.get("__hinted", F.lit(0))))
+    strength = F.transform(F.filter("__top", lambda p: p["format"] == F.col("__one")), lambda p: F.struct((p["kind"] == "magic").cast("int").alias("m"), F.octet_length(p["digits"]).alias("n")))
+    method = F.when(F.array_max(strength)["m"] == 1, "magic").otherwise("structural")
+    status = F.when(n == 0, "unknown").when(F.col("__one").isNull(), "ambiguous").otherwise("selected")
+    return judged.select("carrier_kind", "carrier_id", status.alias("status"), F.col("__one").alias("format"), F.when(F.col("__one").isNotNull(), method).alias("method"), n.cast("long").alias("n_contenders"))
 
 
 def first_violation(rows: DataFrame, key: list[str], checks: list[tuple[str, Column]]) -> DataFrame:
@@ -126,42 +148,61 @@ def bind_inputs(supplied: DataFrame, forms: DataFrame, group: str) -> DataFrame:
     form's roles occurs within its bounds.
     """
     counts = supplied.groupBy(group, "role").agg(F.count("*").alias("n"))
-    names = forms.select("form").distinct()
-    asked = forms.groupBy("form").agg(F.count("*").alias("roles"), F.sum(F.expr("int(least > 0)")).alias("needed"))
-    pairs = counts.join(names, F.lit(True), "inner").join(forms, ["form", "role"], "left")
-    fits = F.col("least").isNotNull() & (F.col("n") >= F.col("least")) & (F.col("most").isNull() | (F.col("n") <= F.col("most")))
-    by = pairs.groupBy(group, "form").agg(F.bool_and(fits).alias("fits"), F.sum(F.when(F.col("least") > 0, 1).otherwise(0)).alias("met"))
-    good = by.join(asked, "form").withColumn("good", F.col("fits") & (F.col("met") == F.col("needed")))
+    asked = forms.groupBy("form").agg(F.sum(F.expr("int(least > 0)")).alias("needed"))
+    within = (F.col("n") >= F.col("least")) & (F.col("most").isNull() | (F.col("n") <= F.col("most")))
+    met = counts.join(forms, "role").groupBy(group, "form").agg(F.count("*").alias("known"), F.bool_and(within).alias("within"), F.sum(F.expr("int(least > 0)")).alias("met"))
+    roles = counts.groupBy(group).agg(F.count("*").alias("roles"))
+    good = roles.join(met, group, "left").join(asked, "form", "left").withColumn("good", F.coalesce((F.col("known") == F.col("roles")) & F.col("within") & (F.col("met") == F.col("needed")), F.lit(False)))
     n = F.count_if("good")
     return good.groupBy(group).agg(F.when(n == 1, "bound").when(n == 0, "no_form").otherwise("several_forms").alias("status"), F.when(n == 1, F.max(F.when(F.col("good"), F.col("form")))).alias("form"))
 
 
 def select_by_name(members: DataFrame, group: str, name: str, order: str) -> DataFrame:
     """Each name of a namespace: selected (one member), or ambiguous with its first two members."""
-    ranked = members.withColumn("k", F.row_number().over(Window.partitionBy(group, name).orderBy(order)))
-    by = ranked.where("k <= 2").groupBy(group, name).agg(F.min(order).alias("first"), F.max(F.when(F.col("k") == 2, F.col(order))).alias("second"))
+    counted = members.groupBy(group, name, order).agg(F.count("*").alias("__n"))
+    first = counted.groupBy(group, name).agg(F.min(order).alias("__first"), F.min_by("__n", order).alias("__n_first"))
+    later = counted.join(first, [group, name]).where(F.col(order) > F.col("__first")).groupBy(group, name).agg(F.min(order).alias("__later"))
+    second = F.when(F.col("__n_first") > 1, F.col("__first")).otherwise(F.col("__later"))
+    by = first.join(later, [group, name], "left").select(group, name, F.col("__first").alias("first"), second.alias("second"))
     return by.withColumn("status", F.when(F.col("second").isNull(), "selected").otherwise("ambiguous"))
 
 
 def walk(edges: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
-    """A namespace walk: ``(node, parent, depth, event)`` for everything reachable from the roots.
+    """A namespace walk: ``(node, parent, depth, event)`` for everything reachable from the roots, ``max_depth`` of 1 to 128.
 
     A member that is its own ancestor is a ``cycle`` and is not entered; a member below
-    ``max_depth`` is the error ``depth``. Each level is one join with the edges; only keys of
-    ancestors are carried.
+    ``max_depth`` is the error ``depth``. Each level is one join with the edges and is written,
+    so that no level works out those before it again; only keys of ancestors are carried.
     """
-    level = roots.select("node", F.lit(None).cast("string").alias("parent"), F.lit(1).alias("depth"), F.lit("mounted").alias("event"), F.array("node").alias("path"))
-    levels = [level]
+    if not 1 <= max_depth <= 128:
+        raise ValueError("a walk is 1 to 128 levels deep")
+    level = written(roots.select("node", F.lit(None).cast("string").alias("parent"), F.lit(1).alias("depth"), F.lit("mounted").alias("event"), F.array("node").alias("path")), "walk")
+    out = level
     for depth in range(2, max_depth + 2):
-        entered = levels[-1].where("event = 'mounted'").select(F.col("node").alias("parent"), "path")
+        entered = level.where("event = 'mounted'").select(F.col("node").alias("parent"), "path")
         event = F.when(F.array_contains("path", F.col("child")), "cycle").otherwise("mounted" if depth <= max_depth else "depth")
-        levels.append(entered.join(edges, "parent").select(F.col("child").alias("node"), "parent", F.lit(depth).alias("depth"), event.alias("event"), F.concat("path", F.array("child")).alias("path")))
-    out = levels[0]
-    for x in levels[1:]:
-        out = out.unionByName(x)
+        level = written(entered.join(edges, "parent").select(F.col("child").alias("node"), "parent", F.lit(depth).alias("depth"), event.alias("event"), F.concat("path", F.array("child")).alias("path")), "walk")
+        if level.isEmpty():
+            break
+        out = out.unionByName(level)
     return out.drop("path")
 
 
+def select_by_index(members: DataFrame, wanted: DataFrame, group: str, order: str) -> DataFrame:
+    """Members at wanted 0-based places ``(group, index)`` of a namespace: ``(group, index, order, status)``, ``missing`` where there are not so many."""
+    placed = members.withColumn("index", F.row_number().over(Window.partitionBy(group).orderBy(order)).cast("long") - 1)
+    met = wanted.join(placed.select(group, "index", order), [group, "index"], "left")
+    return met.select(group, "index", order, F.when(F.col(order).isNull(), "missing").otherwise("selected").alias("status"))
+
+
+def merged_support(descriptors: DataFrame, **others: DataFrame) -> DataFrame:
+    """Descriptors by id with the columns of other tables by id, each as a struct of its name, NULL where it has no row."""
+    out = descriptors
+    for name, df in others.items():
+        out = out.join(df.select("id", F.struct(*(c for c in df.columns if c != "id")).alias(name)), "id", "left")
+    return out
+
+
 def compare_golden(expected: DataFrame, actual: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """Expected against actual by key: missing, unexpected, different (with the fields), or equal; NULLs are equal."""
     e, a = expected.withColumn("__e", F.lit(True)).alias("e"), actual.withColumn("__a", F.lit(True)).alias("a")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bytelode.functions.binary import align_up
+from bytelode.functions.binary import align_up, div
 
 
 def _in_order(group: str, order: str):
@@ -125,18 +125,18 @@ def composite_read(segments: DataFrame, requests: DataFrame, bucket: int = 4096)
     placed = segments.withColumn("at", F.coalesce(F.sum("length").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long"))
 
     def over(start: Column, length: Column) -> Column:
-        return F.explode(F.sequence(F.floor(start / bucket), F.floor((start + length - 1) / bucket)))
+        return F.explode(F.sequence(div(start, bucket), div(start + length - 1, bucket)))
 
     s = placed.where("length > 0").withColumn("bucket", over(F.col("at"), F.col("length"))).alias("s")
     r = requests.where("length > 0").withColumn("bucket", over(F.col("start"), F.col("length"))).alias("r")
     low, high = F.greatest("s.at", "r.start"), F.least(F.col("s.at") + F.col("s.length"), F.col("r.start") + F.col("r.length"))
-    met = s.join(r, (F.col("s.composite_id") == F.col("r.composite_id")) & (F.col("s.bucket") == F.col("r.bucket"))).where((low < high) & (F.floor(low / bucket) == F.col("s.bucket")))
+    met = s.join(r, (F.col("s.composite_id") == F.col("r.composite_id")) & (F.col("s.bucket") == F.col("r.bucket"))).where((low < high) & (div(low, bucket) == F.col("s.bucket")))
     return met.select("s.composite_id", "r.request_id", "s.seg_no", (F.col("s.source_start") + low - F.col("s.at")).alias("source_start"), (high - low).alias("length"))
 
 
 def strided_offsets(start: int, stride: int, payload_offset: int, payload: int, logical: Column) -> Column:
-    """The physical place of a logical one in records of which only a payload counts; NULL for impossible geometry."""
+    """The physical place of a logical one in records of which only a payload counts; NULL for impossible geometry and past BIGINT."""
     if stride <= 0 or payload <= 0 or payload_offset + payload > stride:
         return F.lit(None).cast("long")
-    record = F.floor(logical / payload)
-    return start + record * stride + payload_offset + (logical - record * payload)
+    record = div(logical, payload)
+    return F.try_add(F.try_multiply(record, F.lit(stride).cast("long")), start + payload_offset + (logical - record * payload))

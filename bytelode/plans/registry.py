@@ -12,33 +12,11 @@ from pyspark.sql import functions as F
 from bytelode.functions import binary as b
 from bytelode.functions import codecs, pixels
 from bytelode.operators import catalog, layout
+from bytelode.plans.base import _D, _S, ORACLE_SQL, QUERIES, _h, query
 from bytelode.sources.carriers import documents, sizes, table
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(oracle: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLE_SQL[f.__name__] = oracle
-        return f
-
-    return add
-
-
-_D = "WITH d AS (SELECT doc_id, hex(encode(text)) AS h, octet_length(encode(text))::BIGINT AS n FROM documents) "
-_S = """s AS (SELECT l_orderkey AS group_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS idx, l_quantity::BIGINT AS size FROM lineitem)"""
-
-
-def _h(at: int, *order: int) -> str:
-    """SQL for the number whose hex digits are the bytes at a place in the given order."""
-    return "('0x' || " + " || ".join(f"substr(h, {2 * (at + k) + 1}, 2)" for k in order) + ")"
-
-
-_PROBES = """(VALUES ('html', 10, 'magic', 0, '3C21444F43545950452068746D6C'), ('markup', 10, 'magic', 0, '3C21'), ('html-any', 5, 'structural', 0, '3C68746D6C'),
- ('object', 10, 'magic', 0, '7B22'), ('pairs', 20, 'structural', 0, '223A'), ('the-prose', 10, 'magic', 0, '546865'), ('colon-prose', 5, 'structural', 0, '3A20'))"""
+_PROBES = """(VALUES ('html', 10, 'magic', '<!DOCTYPE html'), ('markup', 10, 'magic', '<!'), ('html-any', 5, 'structural', '<html'),
+ ('object', 10, 'magic', '{"'), ('pairs', 20, 'structural', '":'), ('the-prose', 10, 'magic', 'The'), ('colon-prose', 5, 'structural', ': '))"""
 _HINTS = "(VALUES ('html', 'html'), ('object', 'json'))"
 _CARRIERS = """SELECT 'page' AS carrier_kind, page_id AS carrier_id, html AS t, coalesce(regexp_extract(url, '[.]([a-z]+)$', 1), '') AS ext FROM pages
  UNION ALL SELECT 'event', event_id, props, 'json' FROM events UNION ALL SELECT 'document', doc_id, text, '' FROM documents"""
@@ -51,17 +29,17 @@ def _probes(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
 
 
 @query(f"""
-WITH c AS (SELECT carrier_kind, carrier_id, ext, hex(encode(substr(coalesce(t, ''), 1, 64))) AS head FROM ({_CARRIERS})),
- p(format, precedence, kind, "at", digits) AS (SELECT * FROM {_PROBES}), hi(format, ext) AS (SELECT * FROM {_HINTS}),
+WITH c AS (SELECT carrier_kind, carrier_id, ext, coalesce(t, '') AS t FROM ({_CARRIERS})),
+ p(format, precedence, kind, digits) AS (SELECT * FROM {_PROBES}), hi(format, ext) AS (SELECT * FROM {_HINTS}),
  m AS (SELECT c.*, p.format, p.precedence, p.kind, max(p.precedence) OVER (PARTITION BY carrier_kind, carrier_id) AS top
-       FROM c JOIN p ON CASE p.kind WHEN 'magic' THEN substr(head, "at" + 1, length(digits)) = digits ELSE strpos(head, digits) > 0 END),
+       FROM c JOIN p ON CASE p.kind WHEN 'magic' THEN starts_with(c.t, digits) ELSE contains(c.t, digits) END),
  t AS (SELECT m.*, count(*) OVER w AS n, count(hi.format) OVER w AS nh, hi.format IS NOT NULL AS hinted
        FROM m LEFT JOIN hi ON hi.format = m.format AND hi.ext = m.ext WHERE precedence = top WINDOW w AS (PARTITION BY carrier_kind, carrier_id)),
  g AS (SELECT carrier_kind, carrier_id, max(n) AS n, max(CASE WHEN n = 1 OR (nh = 1 AND hinted) THEN format END) AS format, max(CASE WHEN n = 1 OR (nh = 1 AND hinted) THEN kind END) AS method FROM t GROUP BY ALL)
 SELECT c.carrier_kind, c.carrier_id, CASE WHEN g.n IS NULL THEN 'unknown' WHEN format IS NULL THEN 'ambiguous' ELSE 'selected' END AS status,
  format, method, coalesce(g.n, 0)::BIGINT AS n_contenders FROM c LEFT JOIN g USING (carrier_kind, carrier_id)""")
 def detect_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The format of every page, event and document from all of its bytes (the oracle sees 64 characters)."""
+    """The format of every page, event and document from all of its bytes."""
     pages, events, docs = (table(spark, sf_dir, t) for t in ("pages", "events", "documents"))
     ext = F.coalesce(F.regexp_extract("url", r"[.]([a-z]+)$", 1), F.lit(""))
     carriers = pages.select(F.lit("page").alias("carrier_kind"), F.col("page_id").alias("carrier_id"), F.col("html").alias("t"), ext.alias("ext"))
@@ -307,13 +285,13 @@ def path_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", b.safe_path(path, 24, 2).alias("reason"))
 
 
-@query("""WITH e AS (SELECT doc_id, quality::VARCHAR AS q, toxic::VARCHAR AS t FROM labels), a AS (SELECT doc_id, (n_chars % 2)::VARCHAR AS q, '0' AS t FROM documents WHERE doc_id % 3 > 0)
+@query("""WITH e AS (SELECT doc_id, quality::VARCHAR AS q, toxic::VARCHAR AS t FROM labels), a AS (SELECT doc_id, (n_chars % 2)::VARCHAR AS q, '0' AS t FROM documents)
 SELECT coalesce(e.doc_id, a.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'missing' WHEN e.doc_id IS NULL THEN 'unexpected' WHEN e.q = a.q AND e.t = a.t THEN 'equal' ELSE 'different' END AS status,
  CASE WHEN e.q <> a.q AND e.t <> a.t THEN 'q,t' WHEN e.q <> a.q THEN 'q' WHEN e.t <> a.t THEN 't' END AS fields FROM e FULL JOIN a ON e.doc_id = a.doc_id""")
 def golden_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels as expectations of what two columns of some documents say."""
+    """Labels as expectations of what two columns of all documents say."""
     expected = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("string").alias("q"), F.col("toxic").cast("string").alias("t"))
-    actual = table(spark, sf_dir, "documents").where("doc_id % 3 > 0").select("doc_id", (F.col("n_chars") % 2).cast("string").alias("q"), F.lit("0").alias("t"))
+    actual = table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") % 2).cast("string").alias("q"), F.lit("0").alias("t"))
     return catalog.compare_golden(expected, actual, "doc_id", ["q", "t"])
 
 
@@ -334,13 +312,12 @@ def archive_run_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.run_digests(docs, "source", "doc_id", F.concat("lang", F.col("doc_id").cast("string")), F.col("size"))
 
 
-@query(_D + """, y AS (SELECT doc_id, n, unnest(range(0, n)) AS i, h FROM d), v AS (SELECT doc_id, n, i, ('0x' || substr(h, (2 * i + 1)::BIGINT, 2))::BIGINT AS b FROM y)
-SELECT v.doc_id, (((v.n + sum((v.n - i) * b)) % 65521) * 65536 + (1 + sum(b)) % 65521)::BIGINT AS adler32, sha256(any_value(t.text)) AS sha256 FROM v JOIN documents t ON t.doc_id = v.doc_id GROUP BY v.doc_id, v.n""")
+@query(_D + """, y AS (SELECT doc_id, n, unnest(range(0, n)) AS i, h FROM d), v AS (SELECT doc_id, n, i, ('0x' || substr(h, (2 * i + 1)::BIGINT, 2))::BIGINT AS b FROM y),
+ z AS (SELECT doc_id, (((n + sum((n - i) * b)) % 65521) * 65536 + (1 + sum(b)) % 65521)::BIGINT AS adler32 FROM v GROUP BY doc_id, n)
+SELECT t.doc_id, coalesce(adler32, 1) AS adler32, sha256(t.text) AS sha256 FROM documents t LEFT JOIN z ON z.doc_id = t.doc_id""")
 def checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Adler-32 and SHA-256 of every document that is not empty."""
-    import zlib
-
-    return documents(spark, sf_dir).where(F.octet_length("content") > 0).select("doc_id", codecs.bytes_udf(zlib.adler32, "long")("content").alias("adler32"), F.sha2("content", 256).alias("sha256"))
+    """Adler-32 and SHA-256 of every document."""
+    return documents(spark, sf_dir).select("doc_id", b.adler32(F.col("content")).alias("adler32"), F.sha2("content", 256).alias("sha256"))
 
 
 @query()
@@ -449,3 +426,24 @@ def half_floats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") * 8191 % 65536).alias("word")).withColumn("v", b.half_value(F.col("word")))
     kind = F.when(F.isnan(v), "nan").when(F.abs(v) == float("inf"), "infinite").otherwise("finite")
     return rows.select("p_partkey", "word", kind.alias("kind"), F.when(kind == "finite", (v * 2.0**28).cast("long")).alias("scaled"))
+
+
+@query("""WITH o AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS index FROM documents), w AS (SELECT DISTINCT source, unnest([0, 3, 100000000])::BIGINT AS index FROM documents)
+SELECT w.source, w.index, doc_id, CASE WHEN doc_id IS NULL THEN 'missing' ELSE 'selected' END AS status FROM w LEFT JOIN o ON o.source = w.source AND o.index = w.index""")
+def select_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first, fourth and an absent member of each source."""
+    d = table(spark, sf_dir, "documents")
+    wanted = d.select("source").distinct().select("source", F.explode(F.array(*(F.lit(k).cast("long") for k in (0, 3, 100_000_000)))).alias("index"))
+    return catalog.select_by_index(d.select("source", "doc_id"), wanted, "source", "doc_id")
+
+
+@query("""SELECT p_partkey AS id, p_size, s.s_name AS family, c.c_mktsegment AS context, s.s_suppkey IS NOT NULL AS supported FROM part LEFT JOIN supplier s ON s.s_suppkey = p_partkey LEFT JOIN customer c ON c.c_custkey = p_partkey""")
+def merged_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as descriptors, with suppliers and customers of the same number as their support and context."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_size")
+    support, context = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), "s_name"), table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_mktsegment")
+    found = catalog.merged_support(p, support=support, context=context)
+    return found.select("id", "p_size", F.col("support.s_name").alias("family"), F.col("context.c_mktsegment").alias("context"), F.col("support").isNotNull().alias("supported"))
+
+
+from bytelode.plans import columns, directories, rules  # noqa: E402, F401  (they register their queries)

@@ -23,12 +23,15 @@ def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line.select(F.col("l_orderkey").alias("group_id"), F.row_number().over(w).alias("idx"), F.col("l_quantity").cast("long").alias("size"))
 
 
-def files(spark: SparkSession, folder: str, extension: str = "", recursive: bool = False) -> DataFrame:
-    """Files of a folder as ``(path, modificationTime, length, content)``, without dot files and the three expectation files; an empty extension is any."""
+def files(spark: SparkSession, folder: str, extension: str, recursive: bool = False) -> DataFrame:
+    """Files of a folder with an extension, whatever its case, as ``(path, modificationTime, length, content)`` in order of path.
+
+    Dot files and the three expectation files are left out; an empty extension is no file's.
+    """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
     name = F.substring_index("path", "/", -1)
     kept = found.where(~name.startswith(".") & ~name.isin("spec.json", "manifest.json", "versions.json"))
-    return kept.where(F.lower(name).endswith("." + extension.lower())) if extension else kept
+    return kept.where(F.lower(name).endswith("." + extension.lower()) if extension else F.lit(False)).orderBy("path")
 
 
 _PAIR = b"SCEPAIR1"

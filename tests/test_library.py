@@ -165,7 +165,7 @@ def test_pairs_and_files(spark, tmp_path):
     good = carriers.pair_bytes("lzss", "made", b"raw", b"st")
     for name, data in (("a.pair", good + b"ignored"), ("b.PAIR", good[:-1]), (".c.pair", good), ("spec.json", b"{}"), ("d.bin", b"x")):
         (tmp_path / name).write_bytes(data)
-    assert carriers.files(spark, str(tmp_path)).count() == 3
+    assert carriers.files(spark, str(tmp_path), "").count() == 0
     found = carriers.pairs(carriers.files(spark, str(tmp_path), "pair")).collect()
     assert [(r.codec, r.provenance, bytes(r.raw), bytes(r.stored)) for r in found] == [("lzss", "made", b"raw", b"st")]
 
@@ -212,3 +212,86 @@ def test_run_digests_see_sizes_and_bound_their_runs(spark):
 def test_shared_extension_counts_are_rows(spark):
     hints = spark.createDataFrame([("x", "a"), ("x", "a"), ("x", "b"), ("y", "a"), ("", "a"), ("", "a")], "ext string, format string")
     assert sorted(map(tuple, catalog.shared_extension_counts(hints).collect())) == [("x", "a", 2, 3), ("x", "b", 1, 3)]
+
+
+def test_alignment_masks_and_writes_at_the_ends_of_their_ranges(spark):
+    big = (1 << 60) + 200
+    rows = [(big, 0x7FFFFFFF), ((1 << 63) - 2, -(1 << 31)), (-5, 0x80000001 - (1 << 32)), (0, 0), (512, -1), (513, 0b0110), (7, 0b0101)]
+    df = spark.createDataFrame(rows, "v long, m int")
+    v, m = F.col("v"), F.col("m")
+    got = df.select(binary.align_up(v, 256), binary.align_up(v, 3), binary.align_up(v, 3, True), binary.align_up(v, 0), binary.contiguous_mask(m)).collect()
+    assert [r[0] for r in got] == [(1 << 60) + 256, None, 0, 0, 512, 768, 256]
+    assert [r[1] for r in got] == [-(-big // 3) * 3, (1 << 63) - 2, -3, 0, 513, 513, 9]
+    assert all(r[2] is None and r[3] is None for r in got)
+    assert [r[4] for r in got] == [True, True, False, False, True, True, False]
+    wide = spark.createDataFrame([("18446744073709551615",), ("18446744073709551616",), ("-1",), ("9223372036854775808",)], "d string").select(F.hex(binary.uint_bytes(F.col("d").cast("decimal(20,0)"), 8, True)))
+    assert [r[0] for r in wide.collect()] == ["F" * 16, None, None, "80" + "0" * 14]
+    signed = spark.createDataFrame([(-(1 << 63),), (-1,), ((1 << 63) - 1,)], "v long").select(F.hex(binary.sint_bytes(F.col("v"), 8)), F.hex(binary.sint_bytes(F.col("v"), 1))).collect()
+    assert [tuple(r) for r in signed] == [("0" * 14 + "80", None), ("F" * 16, "FF"), ("F" * 14 + "7F", None)]
+    strided = df.where("v >= 0").select(layout.strided_offsets(0, 20, 4, 10, v)).collect()
+    assert strided[0][0] == big // 10 * 20 + 4 + big % 10
+
+
+def test_directory_tables_on_the_smallest_carriers(spark):
+    from bytelode.operators import edits, tables
+
+    def words(*values):
+        return bytearray(b"".join(v.to_bytes(4, "little") for v in values))
+
+    df = spark.createDataFrame([(words(1, 12, 16) + b"abcd",), (words(0, 8),), (words(1, 16, 20) + b"\0\0\0\1abcd",), (bytearray(b""),), (None,)], "c binary")
+    c = F.col("c")
+    counted = df.select(tables.counted_boundaries(c, F.get(F.array(F.lit(1)), F.lit(0)), 4).alias("r")).collect()
+    assert [r.r.status for r in counted[:4]] == ["ok", "truncated", "closure", "truncated"]
+    assert [tuple(x) for x in counted[0].r.ranges] == [(12, 4)]
+    gap = df.select(tables.counted_boundaries(c, F.lit(1), 4, F.lit(20), resident=False).alias("r")).collect()
+    assert gap[2].r.status == "ok"  # the gap's bytes are left to the owner
+    first = spark.createDataFrame([(words(4),), (words(8, 9),), (words(0),), (words(1 << 31),)], "c binary").select(tables.first_word_offsets(c, F.lit(12), 16).alias("r")).collect()
+    assert [r.r.status for r in first] == ["ok", "ok", "table_length", "table_length"]
+    assert [tuple(x) for x in first[1].r.ranges] == [(8, 1), (9, 3)]
+    last = spark.createDataFrame([(words(8, 8),), (words(12, 12, 8),), (words(8, 12),)], "c binary").select(tables.terminal_offsets(c, F.lit(8), 16).alias("r")).collect()
+    assert [(r.r.status, r.r.at) for r in last] == [("ok", None), ("table_length", None), ("offset", 1)]
+    spliced = spark.createDataFrame([(bytearray(b"0123"), [])], "c binary, e array<struct<start: long, length: long, bytes: binary>>").select(edits.same_size_splice(c, F.col("e")).alias("r")).collect()
+    assert spliced[0].r.status == "ok" and bytes(spliced[0].r.content) == b"0123"
+
+
+def test_golden_rows_that_are_missing(spark):
+    expected, actual = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id long, v string"), spark.createDataFrame([(2, "c"), (3, None), (4, "d")], "id long, v string")
+    got = {r.id: (r.status, r.fields) for r in catalog.compare_golden(expected, actual, "id", ["v"]).collect()}
+    assert got == {1: ("missing", None), 2: ("different", "v"), 3: ("equal", None), 4: ("unexpected", None)}
+
+
+def test_adler_and_bits_by_definition(spark):
+    data = [b"", b"a", bytes(range(256)) * 20, b"\xff" * 9000]
+    got = spark.createDataFrame([(bytearray(x),) for x in data], "c binary").select(binary.adler32(F.col("c"))).collect()
+    assert [r[0] for r in got] == [zlib.adler32(x) for x in data]
+
+
+def test_walks_end_with_their_frontier_and_are_bounded(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "parent string, child string")
+    roots = spark.createDataFrame([("a",)], "node string")
+    got = sorted((r.node, r.depth, r.event) for r in catalog.walk(edges, roots, 128).collect())
+    assert got == [("a", 1, "mounted"), ("a", 4, "cycle"), ("b", 2, "mounted"), ("c", 3, "mounted")]
+    for depth in (0, 129):
+        with pytest.raises(ValueError):
+            catalog.walk(edges, roots, depth)
+
+
+def test_names_that_repeat_are_ambiguous_with_their_first_two(spark):
+    rows = [("g", "x", 5), ("g", "x", 5), ("g", "y", 1), ("h", "x", 3), ("h", "x", 2), ("h", "x", 9)]
+    got = {(r.g, r.n): (r.first, r.second, r.status) for r in catalog.select_by_name(spark.createDataFrame(rows, "g string, n string, k long"), "g", "n", "k").collect()}
+    assert got == {("g", "x"): (5, 5, "ambiguous"), ("g", "y"): (1, None, "selected"), ("h", "x"): (2, 3, "ambiguous")}
+
+
+def test_stream_detection_is_the_batch_one(spark, tmp_path):
+    from bytelode.streaming.detection import detect_stream
+
+    probes, hints = registry._probes(spark)
+    rows = spark.createDataFrame([("page", k, bytearray(t), "html") for k, t in enumerate([b"<!DOCTYPE html>", b'{"a": 1}', b"nothing", b""])], "carrier_kind string, carrier_id long, content binary, ext string")
+    rows.write.parquet(f"{tmp_path}/in")
+    arriving = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+    stream = detect_stream(arriving, probes, hints, f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+    stream.processAllAvailable()
+    stream.stop()
+    got = spark.read.parquet(f"{tmp_path}/out").select("carrier_id", "status", "format").collect()
+    want = catalog.detect(rows, probes, hints).select("carrier_id", "status", "format").collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) == 4
