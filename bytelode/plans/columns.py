@@ -81,7 +81,7 @@ def string_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumn("whole", F.concat(F.unhex(F.lit("FFFF")), F.unhex(F.repeat(F.lit("2E"), 8))))
 
     def read(policy: str) -> Column:
-        by = [F.when(F.octet_length(c) == 2 + w, b.string_field(c, 2, w, policy)) for w in range(8, 13)]
+        by = [F.when(F.octet_length(c) == 2 + w, b.string_field(c, 2, w, policy)) for w in range(6, 16)]
         return F.decode(F.coalesce(*by), "utf-8").alias(policy)
 
     put = F.when(k == 1, b.splice(F.col("whole"), 2, F.encode(F.lit("XY"), "utf-8"))).otherwise(b.put_string(F.col("whole"), 2, 8, F.encode(F.lit("XY"), "utf-8"), "nul"))
