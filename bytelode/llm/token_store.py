@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytelode.llm.common import bounded_batches, fresh_dir, held, open_fs, written
+from bytelode.llm.common import bounded_batches, fresh_dir, held, open_fs, read_tasks, written
 from bytelode.llm.perfect_hash import PerfectHash, mix
 from bytelode.llm.tokens import TokenEncoder
 
@@ -159,7 +159,8 @@ def read_keys(keys: DataFrame) -> DataFrame:
     """Look up ``(shard, doc_id, copy)`` in the shards' files: ``(shard, doc_id, copy, position, n_tokens, ids_crc32)``.
 
     Keys are brought to their shard and each is found by hash and fingerprint; payloads
-    next to each other are read together. Tasks are as many as shards. Absent keys give no row,
+    next to each other are read together. There are as many tasks as the payload
+    asks for, if ``keys`` has its n_tokens, else as shards. Absent keys give no row,
     keys that repeat repeated rows, an empty table none. ids_crc32 is over the
     ids as little-endian unsigned 32-bit numbers.
     """
@@ -194,8 +195,11 @@ def read_keys(keys: DataFrame) -> DataFrame:
 
     kinds = [pa.string(), *[pa.int64()] * 5]
     cols = ["shard", "doc_id", "copy", "position", "n_tokens", "ids_crc32"]
-    shards = max(1, keys.select("shard").distinct().count())
-    dealt = keys.select("shard", "doc_id", "copy").repartition(shards, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "copy")
+    if "n_tokens" in keys.columns:
+        tasks = read_tasks(keys.sparkSession, 4 * (keys.agg(F.sum("n_tokens")).first()[0] or 0))
+    else:
+        tasks = max(1, keys.select("shard").distinct().count())
+    dealt = keys.select("shard", "doc_id", "copy").repartition(tasks, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "copy")
     return dealt.mapInArrow(read, "shard string, doc_id long, copy long, position long, n_tokens long, ids_crc32 long")
 
 
