@@ -86,12 +86,12 @@ class Kept:
         self.old: dict = {}
         self.size = 0
 
-    def learn(self, keys: list[str], make) -> list[str]:
+    def learn(self, keys: set[str], make) -> list[str]:
         """Have all ``keys`` in ``new``; ``make`` works out those missing. Returns the long ones, to be dropped after use."""
         if self.size >= self.max_bytes:
             self.old, self.new, self.size = self.new, {}, 0
         new, old = self.new, self.old
-        missing = [k for k in set(keys).difference(new) if k not in old or new.setdefault(k, old[k]) is None]
+        missing = [k for k in keys.difference(new) if k not in old or new.setdefault(k, old[k]) is None]
         values = make(missing) if missing else []
         new.update(zip(missing, values, strict=True))
         long = [k for k in missing if len(k) > self.longest]
@@ -103,7 +103,7 @@ class Kept:
         out, waiting, n = [], [], 0
 
         def flush() -> None:
-            long = self.learn([k for keys in waiting for k in keys], make)
+            long = self.learn(set().union(*waiting), make)
             out.extend(fold(map(self.new.__getitem__, keys)) for keys in waiting)
             for k in long:
                 del self.new[k]

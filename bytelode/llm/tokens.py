@@ -261,21 +261,27 @@ class TokenEncoder(_Texts):
     def _encode(self, keys: list[str]) -> list[bytes]:
         import numpy as np
 
-        found, pieces, n, plain = {}, [], [], []
-        for key in keys:
+        pieces, n, special = [], [], {}
+        for k, key in enumerate(keys):
+            if key.isascii() and key.isalpha():
+                pieces.append(" " + key)
+                n.append(1)
+                continue
             c = chunk_of(key)
             if c in self.special:
-                found[key] = np.array([self.merger.tokenizer.token_to_id(c)], dtype=self.dtype).tobytes()
+                special[k] = c
+                n.append(0)
             else:
                 parts = self.merger.pretokens(c)
                 pieces += parts
                 n.append(len(parts))
-                plain.append(key)
         ids, counts = self.merger.merge(pieces)
         data = ids.astype(self.dtype).tobytes()
-        ends = np.concatenate([[0], np.cumsum(counts)])[np.cumsum([0, *n])] * np.dtype(self.dtype).itemsize
-        found.update(zip(plain, (data[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)), strict=True))
-        return [found[k] for k in keys]
+        ends = (np.concatenate([[0], np.cumsum(counts)])[np.cumsum([0, *n])] * np.dtype(self.dtype).itemsize).tolist()
+        found = [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+        for k, c in special.items():
+            found[k] = np.array([self.merger.tokenizer.token_to_id(c)], dtype=self.dtype).tobytes()
+        return found
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as consecutive little-endian numbers."""
