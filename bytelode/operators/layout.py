@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bytelode.functions.binary import align_up, div
+from bytelode.functions.binary import align_up, div, span, zeros
 
 
 def _in_order(group: str, order: str):
@@ -140,3 +140,28 @@ def strided_offsets(start: int, stride: int, payload_offset: int, payload: int,
         return F.lit(None).cast("long")
     record = div(logical, payload)
     return F.try_add(F.try_multiply(record, F.lit(stride).cast("long")), start + payload_offset + (logical - record * payload))
+
+
+def read_ranges(carriers: DataFrame, ranges: DataFrame, key: str, content: str = "content") -> DataFrame:
+    """Exact ranges of carriers, each as a row: ``(key, range_no, bytes, status)``; ``outside`` ranges have no bytes, empty ones are legal.
+
+    Ranges are ``(key, range_no, start, length)``; those of one carrier are cut from it where it is read once.
+    """
+    asked = ranges.groupBy(key).agg(F.collect_list(F.struct("range_no", "start", "length")).alias("__ranges"))
+    each = carriers.join(asked, key).select(key, content, F.explode("__ranges").alias("__r"))
+    got = span(F.col(content), F.col("__r.start"), F.col("__r.length"))
+    return each.select(key, F.col("__r.range_no").alias("range_no"), got.alias("bytes"), F.when(got.isNull(), "outside").otherwise("ok").alias("status"))
+
+
+def composite_bytes(segments: DataFrame, sources: DataFrame, key: str = "composite_id") -> DataFrame:
+    """The whole of each composite: ``(key, content)``.
+
+    Segments ``(key, seg_no, source_id, start, length)`` follow one another; one without a source is a
+    hole of zeros. A composite with a segment outside its source has NULL content. Sources are
+    ``(source_id, content)``; a composite's own bytes come together, as its content is one value.
+    """
+    met = segments.join(sources.select("source_id", F.col("content").alias("__c")), "source_id", "left")
+    piece = F.when(F.col("source_id").isNull(), zeros(F.col("length"))).otherwise(span(F.col("__c"), F.col("start"), F.col("length")))
+    by = met.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seg_no", F.hex(piece).alias("digits")))).alias("p"))
+    whole = F.when(~F.exists("p", lambda x: x["digits"].isNull()), F.unhex(F.array_join(F.col("p.digits"), "")))
+    return by.select(key, whole.alias("content"))

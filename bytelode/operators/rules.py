@@ -153,6 +153,73 @@ def writer_rules(contracts: DataFrame) -> DataFrame:
     return first_violation(contracts, ["id"], checks)
 
 
+#: What an embedded format's context asks of a decoder of the same id.
+CONTEXT_REQUIREMENTS = {"selection": "none", "paired": "paired", "address-space": "address-space", "siblings": "siblings", "carrier-member": "carrier-member"}
+
+
+def support_rules(embedded: DataFrame, descriptors: DataFrame) -> DataFrame:
+    """``(position, id, violation)``: the first rule of a support catalogue that each embedded format breaks.
+
+    Embedded formats are ``(position, id, carrier, family, decoder, discriminator, context,
+    context_family, typed, dialect_group, capabilities, evidence)`` with evidence ``(handler, floor)`` or NULL,
+    descriptors ``(id, detectable, requirement, decoder, capabilities)``. In order: ``id`` (its own or
+    its carrier's), ``duplicate`` (of a descriptor that it does not name as carrier while that
+    is detectable, or of an earlier row), ``context`` (not what the descriptor requires, or a
+    carrier that is no descriptor of its id), ``agreement`` (decoder and capabilities are not the
+    descriptor's), ``family`` (or decoder or discriminator empty), ``untyped`` (or of another family),
+    ``capabilities``, ``evidence`` (exactly with ``corpus``), ``discriminator`` (an earlier row of the family has it, and not in the same dialect group).
+    """
+    of = descriptors.select("id", F.struct("detectable", "requirement", F.col("decoder").alias("decoder"), F.array_sort("capabilities").alias("capabilities")).alias("described"))
+    earliest = embedded.groupBy("id").agg(F.min("position").alias("first"))
+    one = embedded.groupBy("family", "discriminator").agg(F.min(F.struct("position", "dialect_group")).alias("one"))
+    rows = embedded.join(of, "id", "left").join(earliest, "id").join(one, ["family", "discriminator"], "left")
+    known, d = F.col("described").isNotNull(), F.col("described")
+    own = F.col("carrier").eqNullSafe(F.col("id"))
+    wants = F.element_at(F.create_map(*(F.lit(x) for pair in CONTEXT_REQUIREMENTS.items() for x in pair)), F.col("context"))
+    corpus = F.array_contains("capabilities", "corpus")
+    evidence = F.coalesce((F.col("evidence.handler") != "") & (F.col("evidence.floor") > 0), F.lit(False))
+    checks = [
+        ("id", ~lexical(F.col("id")) | (F.col("carrier").isNotNull() & ~lexical(F.col("carrier")))),
+        ("duplicate", (F.col("first") < F.col("position")) & ~(known & d["detectable"] & own) | (known & ~(d["detectable"] & own))),
+        ("context", F.when(known, ~d["requirement"].eqNullSafe(wants)).otherwise(F.col("carrier").isNotNull())),
+        ("agreement", known & (~d["decoder"].eqNullSafe(F.col("decoder")) | (d["capabilities"] != F.array_sort("capabilities")))),
+        ("family", ~lexical(F.col("family")) | (F.col("decoder") == "") | (F.col("discriminator") == "")),
+        ("untyped", ~F.col("typed") | F.coalesce(F.col("context_family") != F.col("family"), F.lit(False))),
+        ("capabilities", capability_rules(F.col("capabilities"))),
+        ("evidence", F.when(corpus, ~evidence).otherwise(F.col("evidence").isNotNull())),
+        ("discriminator", (F.col("one.position") < F.col("position")) & ~F.coalesce(F.col("dialect_group") == F.col("one.dialect_group"), F.lit(False))),
+    ]
+    return first_violation(rows, ["position", "id"], checks)
+
+
+def namespace_rules(semantics: DataFrame, known: DataFrame) -> DataFrame:
+    """``(position, id, violation)`` of declared namespace semantics ``(position, id, kind, addressing, execution)``.
+
+    In order: ``id``, ``duplicate``, ``unknown`` (no format of that id), ``combination``: carriers and views
+    have an addressing, and ask for an external transform only if it is selective or
+    reconstructed; what is no namespace has none and is native.
+    """
+    earliest = semantics.groupBy("id").agg(F.min("position").alias("first"))
+    rows = semantics.join(earliest, "id").join(known.select("id").distinct().withColumn("there", F.lit(True)), "id", "left")
+    spaces = F.col("kind").isin("carrier", "view") & F.col("addressing").isNotNull()
+    external = (F.col("execution") == "external") & F.col("addressing").isin("selective", "reconstructed")
+    none = (F.col("kind") == "none") & F.col("addressing").isNull() & (F.col("execution") == "native")
+    legal = (spaces & ((F.col("execution") == "native") | external)) | none
+    return first_violation(rows, ["position", "id"], [("id", ~lexical(F.col("id"))), ("duplicate", F.col("first") < F.col("position")), ("unknown", F.col("there").isNull()), ("combination", ~legal)])
+
+
+def golden_run(files: DataFrame, samples: DataFrame, exclusions: DataFrame, ledger: DataFrame) -> DataFrame:
+    """``(path, status)`` of a directory's files and samples: ``ok``, ``excluded``, ``undeclared`` (neither a sample nor excluded), ``absent``, ``changed``, or ``unversioned`` (its digest is not in the version ledger).
+
+    Files are ``(path, sha256)``, samples ``(path, sha256)``, exclusions ``(path)``, the ledger ``(sha256)``.
+    """
+    f = files.select("path", F.col("sha256").alias("has"))
+    joined = f.join(samples.select("path", "sha256"), "path", "full_outer").join(exclusions.select("path").distinct().withColumn("out", F.lit(True)), "path", "left")
+    joined = joined.join(ledger.select(F.col("sha256").alias("has")).distinct().withColumn("versioned", F.lit(True)), "has", "left")
+    status = F.when(F.col("sha256").isNull(), F.when(F.col("out"), "excluded").otherwise("undeclared")).when(F.col("has").isNull(), "absent").when(F.col("has") != F.col("sha256"), "changed").when(F.col("versioned").isNull(), "unversioned").otherwise("ok")
+    return joined.select("path", status.alias("status"))
+
+
 def module_rules(modules: DataFrame) -> DataFrame:
     """``(position, format, violation)``: the first rule of module composition that each row breaks.
 

@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytelode.functions import binary as b
-from bytelode.operators import edits, tables
+from bytelode.operators import edits, layout, tables
 from bytelode.plans.base import _D, _S, query
-from bytelode.sources.carriers import documents, sizes, table
+from bytelode.sources.carriers import as_pairs, documents, read_pairs, sizes, table
+from bytelode.sources.scratch import written
 
 _G = f"{_S}, g AS (SELECT group_id, list(size ORDER BY idx) AS z0, count(*)::BIGINT AS n FROM s GROUP BY group_id)"
 
@@ -185,3 +186,43 @@ def patch_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = rows.withColumn("content", content).withColumn("done", edits.patch_strings(F.col("content"), patches, F.when(k == 12, F.repeat(F.lit("0"), 64)).otherwise(F.sha2("content", 256))))
     return rows.select("p_partkey", F.col("done.status").alias("status"), F.sha2("done.content", 256).alias("sha256"))
+
+
+@query(_D + """, r AS (SELECT doc_id, h, n, unnest([0, 1, 2, 3]) AS range_no FROM d), x AS (SELECT *, [0, 5, n // 2, n - 3][1 + range_no]::BIGINT AS start, [4, 0, 100, 3][1 + range_no]::BIGINT AS length FROM r)
+SELECT doc_id, range_no::INTEGER AS range_no, CASE WHEN start >= 0 AND start + length <= n THEN substr(h, 2 * start + 1, 2 * length) END AS bytes, CASE WHEN start >= 0 AND start + length <= n THEN 'ok' ELSE 'outside' END AS status FROM x""")
+def range_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four ranges of every document: at its start, empty, in its middle (often outside) and at its end."""
+    d = documents(spark, sf_dir)
+    n = F.octet_length("content").cast("long")
+    starts, lengths = F.array(F.lit(0).cast("long"), F.lit(5).cast("long"), F.call_function("div", n, F.lit(2)), n - 3), F.array(*(F.lit(x).cast("long") for x in (4, 0, 100, 3)))
+    ranges = d.select("doc_id", F.posexplode(F.arrays_zip(starts.alias("start"), lengths.alias("length"))).alias("range_no", "r")).select("doc_id", "range_no", "r.start", "r.length")
+    return layout.read_ranges(d, ranges, "doc_id").withColumn("bytes", F.hex("bytes"))
+
+
+@query("""WITH s AS (SELECT c_nationkey AS source_id, string_agg(c_mktsegment, '' ORDER BY c_custkey) AS t FROM customer GROUP BY c_nationkey), u AS (SELECT source_id, t, octet_length(encode(t)) AS n FROM s),
+ g AS (SELECT o_orderkey, o_orderkey % 25 AS a, (o_orderkey * 7) % 25 AS b, o_orderkey % 6 AS hole FROM orders)
+SELECT o_orderkey AS composite_id, CASE WHEN x.n >= 4 AND y.n >= 3 + 2 * (o_orderkey % 5) THEN sha256(unhex(hex(encode(substr(x.t, 1, 4))) || repeat('00', hole) || hex(encode(substr(y.t, (o_orderkey % 5)::BIGINT + 1, (3 + o_orderkey % 5)::BIGINT))))) END AS sha256
+FROM g LEFT JOIN u x ON x.source_id = a LEFT JOIN u y ON y.source_id = b""")
+def composite_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order is made of a piece of one nation's customers, a hole, and a piece of another's."""
+    k = F.col("o_orderkey")
+    by = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("long").alias("source_id")).agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_mktsegment"))).alias("m"))
+    sources = by.select("source_id", F.encode(F.array_join("m.c_mktsegment", ""), "utf-8").alias("content"))
+
+    def segment(no: int, source: Column, start: Column, length: Column) -> Column:
+        return F.struct(F.lit(no).alias("seg_no"), source.cast("long").alias("source_id"), start.cast("long").alias("start"), length.cast("long").alias("length"))
+
+    made = F.array(segment(0, k % 25, F.lit(0), F.lit(4)), segment(1, F.lit(None), F.lit(0), k % 6), segment(2, (k * 7) % 25, k % 5, 3 + k % 5))
+    segments = table(spark, sf_dir, "orders").select(k.alias("composite_id"), F.inline(made))
+    return layout.composite_bytes(segments, sources).select("composite_id", F.sha2("content", 256).alias("sha256"))
+
+
+@query("""SELECT doc_id, left(sha256(unhex(hex(encode('c' || doc_id % 3)) || '00' || hex(encode(text)) || '00' || hex(encode(lang || text)))), 32) || '.pair' AS name, 'c' || doc_id % 3 AS codec, source AS provenance, sha256(text) AS raw, sha256(lang || text) AS stored FROM documents WHERE doc_id % 11 > 0""")
+def pair_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents packed as pair files with bytes after them and parsed again; every eleventh is cut and does not parse."""
+    d = table(spark, sf_dir, "documents")
+    raw, stored = F.encode("text", "utf-8"), F.encode(F.concat("lang", "text"), "utf-8")
+    packed = as_pairs(d, F.concat(F.lit("c"), (F.col("doc_id") % 3).cast("string")), F.col("source"), raw, stored, "doc_id")
+    cut = F.when(F.col("doc_id") % 11 == 0, F.substring("content", F.lit(1), F.octet_length("content") - 1)).otherwise(F.concat("content", F.unhex(F.lit("FFFF"))))
+    found = read_pairs(written(packed.withColumn("content", cut), "pair-files"), "doc_id", "name")
+    return found.select("doc_id", "name", "codec", "provenance", F.sha2("raw", 256).alias("raw"), F.sha2("stored", 256).alias("stored"))

@@ -165,3 +165,45 @@ def gates_and_recognitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = rules.recognitions(d.withColumnRenamed("doc_id", "carrier_id"), known).groupBy("carrier_id").count()
     gated = d.select("doc_id", (F.sha2("content", 256) == expected).alias("gate"), rules.admits(F.get(names, (k % 3).cast("int")), F.get(names, (F.floor(k / 3) % 3).cast("int"))).alias("admitted"))
     return gated.join(hits, gated.doc_id == hits.carrier_id, "left").select("doc_id", "gate", "admitted", F.coalesce("count", F.lit(0)).cast("int").alias("n_recognised"))
+
+
+@query("""WITH e AS (SELECT c_custkey AS position, c_custkey % 16 AS k, CASE WHEN c_custkey % 16 = 1 THEN 'Bad' WHEN c_custkey % 16 IN (2, 3, 4, 5) THEN 's' || c_custkey % 10 ELSE 'e' || c_custkey END AS id, c_custkey % 25 AS f, c_nationkey AS disc FROM customer),
+ x AS (SELECT *, min(position) OVER (PARTITION BY f, disc) AS one, min(position) OVER (PARTITION BY id) AS first FROM e)
+SELECT position, id, CASE WHEN k = 1 THEN 'id' WHEN k = 2 THEN 'duplicate' WHEN k = 3 THEN 'context' WHEN k = 4 THEN 'agreement' WHEN k = 6 THEN 'context' WHEN k = 7 THEN 'family' WHEN k = 8 THEN 'untyped' WHEN k = 9 THEN 'capabilities' WHEN k = 10 THEN 'evidence'
+ WHEN one < position AND NOT (position % 2 = 0 AND one % 2 = 0) THEN 'discriminator' ELSE 'ok' END AS violation FROM x""")
+def support_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers taken for embedded formats, with suppliers as descriptors, and a fault by number."""
+    c = F.col("c_custkey")
+    k = c % 16
+    strings = lambda *x: F.array(*map(F.lit, x))
+    name = F.when(k == 1, "Bad").when(k.isin(2, 3, 4, 5), F.concat(F.lit("s"), (c % 10).cast("string"))).otherwise(F.concat(F.lit("e"), c.cast("string")))
+    family = F.when(k == 7, "").otherwise(F.concat(F.lit("f"), (c % 25).cast("string")))
+    embedded = table(spark, sf_dir, "customer").select(
+        c.alias("position"), name.alias("id"), F.when(k.isin(3, 4, 5), name).when(k == 6, "other").alias("carrier"), family.alias("family"), F.when(k == 4, "else").otherwise("dec").alias("decoder"), F.col("c_nationkey").cast("string").alias("discriminator"),
+        F.when(k == 3, "siblings").otherwise("paired").alias("context"), F.when(k == 8, "strange").otherwise(family).alias("context_family"), F.lit(True).alias("typed"), F.when(c % 2 == 0, "g").alias("dialect_group"),
+        F.when(k == 9, strings("decode")).when(k == 10, strings("parse", "corpus")).otherwise(strings("parse")).alias("capabilities"), F.lit(None).cast("struct<handler: string, floor: int>").alias("evidence"),
+    )
+    described = table(spark, sf_dir, "customer").select((c % 10).alias("d")).distinct().select(F.concat(F.lit("s"), F.col("d").cast("string")).alias("id"), F.lit(True).alias("detectable"), F.lit("paired").alias("requirement"), F.lit("dec").alias("decoder"), strings("parse").alias("capabilities"))
+    return rules.support_rules(embedded, described)
+
+
+@query("""WITH s AS (SELECT p_partkey AS position, CASE WHEN p_partkey % 17 = 0 THEN '-' ELSE 'p' || (p_partkey % 150) END AS id, ['carrier', 'view', 'none'][1 + p_partkey % 3] AS kind, CASE WHEN p_partkey % 5 < 2 THEN 'named' WHEN p_partkey % 5 = 2 THEN 'selective' END AS addressing, CASE WHEN p_partkey % 7 < 3 THEN 'external' ELSE 'native' END AS execution FROM part)
+SELECT position, id, CASE WHEN id = '-' THEN 'id' WHEN position > min(position) OVER (PARTITION BY id) THEN 'duplicate' WHEN id NOT IN (SELECT 'p' || s_suppkey FROM supplier UNION ALL SELECT 'p' || (c_custkey * 2) FROM customer) THEN 'unknown'
+ WHEN (kind <> 'none' AND addressing IS NOT NULL AND (execution = 'native' OR addressing = 'selective')) OR (kind = 'none' AND addressing IS NULL AND execution = 'native') THEN 'ok' ELSE 'combination' END AS violation FROM s""")
+def namespace_semantics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts taken for declared namespace semantics; suppliers and customers are the known formats."""
+    k = F.col("p_partkey")
+    semantics = table(spark, sf_dir, "part").select(k.alias("position"), F.when(k % 17 == 0, "-").otherwise(F.concat(F.lit("p"), (k % 150).cast("string"))).alias("id"), F.get(F.array(*map(F.lit, ("carrier", "view", "none"))), (k % 3).cast("int")).alias("kind"), F.when(k % 5 < 2, "named").when(k % 5 == 2, "selective").alias("addressing"), F.when(k % 7 < 3, "external").otherwise("native").alias("execution"))
+    known = table(spark, sf_dir, "supplier").select(F.concat(F.lit("p"), F.col("s_suppkey").cast("string")).alias("id")).union(table(spark, sf_dir, "customer").select(F.concat(F.lit("p"), (F.col("c_custkey") * 2).cast("string"))))
+    return rules.namespace_rules(semantics, known)
+
+
+@query("""WITH f AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id > 3), s AS (SELECT doc_id, CASE WHEN quality = 1 THEN sha256(text) ELSE 'old' END AS h FROM documents JOIN labels USING (doc_id)),
+ l AS (SELECT DISTINCT sha256(text) AS h FROM documents WHERE lang <> 'de')
+SELECT coalesce(f.doc_id, s.doc_id) AS path, CASE WHEN s.h IS NULL THEN CASE WHEN f.doc_id % 2 = 0 THEN 'excluded' ELSE 'undeclared' END WHEN f.h IS NULL THEN 'absent' WHEN f.h <> s.h THEN 'changed' WHEN f.h NOT IN (SELECT h FROM l) THEN 'unversioned' ELSE 'ok' END AS status FROM f FULL JOIN s ON s.doc_id = f.doc_id""")
+def golden_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as a directory's files (the first ones are gone), labelled ones as its samples, even ones excluded, and a ledger without one language."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.sha2("text", 256).alias("sha256"), "lang")
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("path"), "quality")
+    samples = d.join(labels, "path").select("path", F.when(F.col("quality") == 1, F.col("sha256")).otherwise("old").alias("sha256"))
+    return rules.golden_run(d.where("path > 3").drop("lang"), samples, d.where("path % 2 = 0").select("path"), d.where("lang <> 'de'").select("sha256"))

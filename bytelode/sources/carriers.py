@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from bytelode.functions.binary import uint_bytes, word_at
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -69,3 +71,33 @@ def pairs(found: DataFrame) -> DataFrame:
         return pa.array(map(parse_pair, values.to_pylist()), kind)
 
     return found.select("path", parse("content").alias("p")).where("p is not null").select("path", "p.*")
+
+
+def as_pairs(rows: DataFrame, codec: Column, provenance: Column, raw: Column, stored: Column, key: str) -> DataFrame:
+    """``(key, name, content)``: pair files, named by the first 32 digits of a digest over codec, raw and stored bytes."""
+    c, p = F.encode(codec, "utf-8"), F.encode(provenance, "utf-8")
+    nul = F.unhex(F.lit("00"))
+    digest = F.sha2(F.concat(c, nul, raw, nul, stored), 256)
+    lengths = F.concat(uint_bytes(F.octet_length(c), 4), uint_bytes(F.octet_length(p), 4), uint_bytes(F.octet_length(raw), 8), uint_bytes(F.octet_length(stored), 8))
+    content = F.concat(F.lit(_PAIR.decode()).cast("binary"), lengths, c, p, raw, stored)
+    return rows.select(key, F.concat(F.left(digest, F.lit(32)), F.lit(".pair")).alias("name"), content.alias("content"))
+
+
+def write_pairs(rows: DataFrame, codec: Column, provenance: Column, raw: Column, stored: Column, key: str, folder: str) -> None:
+    """Write pair files' names and bytes as a table partitioned by the first digit of the name; equal pairs are one row."""
+    made = as_pairs(rows, codec, provenance, raw, stored, key).drop(key).dropDuplicates(["name"])
+    made.withColumn("head", F.left("name", F.lit(1))).write.partitionBy("head").parquet(folder)
+
+
+def read_pairs(files: DataFrame, *keys: str, codec: str | None = None) -> DataFrame:
+    """Pair files that are whole, by column expressions: ``(*keys, codec, provenance, raw, stored)``, of one codec if it is named. Bytes after the bodies are ignored."""
+    c = F.col("content")
+    names = ("codec", "provenance", "raw", "stored")
+    lengths = F.array(*(word_at(c, F.lit(at), 4) for at in (8, 12, 16, 24)), word_at(c, F.lit(20), 4), word_at(c, F.lit(28), 4))
+    sized = files.select(*keys, c, lengths.alias("__n")).where((F.substring(c, 1, 8) == F.lit(_PAIR.decode()).cast("binary")) & (F.get("__n", F.lit(4)) == 0) & (F.get("__n", F.lit(5)) == 0))
+    ends = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.aggregate(F.slice("__n", F.lit(1), k), F.lit(32).cast("long"), lambda a, x: a + x))
+    placed = sized.withColumn("__at", ends).where(F.octet_length(c) >= F.get("__at", F.lit(4)))
+    parts = [F.substring(c, (F.get("__at", F.lit(k)) + 1).cast("int"), F.get("__n", F.lit(k)).cast("int")) for k in range(4)]
+    found = placed.select(*keys, *(x.cast("string").alias(n) if k < 2 else x.alias(n) for k, (n, x) in enumerate(zip(names, parts, strict=True))))
+    found = found.where(F.is_valid_utf8("codec") & F.is_valid_utf8("provenance"))
+    return found if codec is None else found.where(F.col("codec") == codec)
