@@ -446,4 +446,22 @@ def merged_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", "p_size", F.col("support.s_name").alias("family"), F.col("context.c_mktsegment").alias("context"), F.col("support").isNotNull().alias("supported"))
 
 
+@query(f"""WITH {_X}, z AS (SELECT *, start <> coalesce(before, 0) AS bad FROM v)
+SELECT l.group_id, min(idx) FILTER (bad)::INTEGER AS "at", l.e AS "end", CASE WHEN count(*) FILTER (bad) > 0 THEN 'gap_or_overlap' ELSE 'ok' END AS status FROM l JOIN z USING (group_id) GROUP BY l.group_id, l.e""")
+def audit_contiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.audit(_extents(spark, sf_dir), "contiguous")
+
+
+@query(f"""WITH {_S}, y AS (SELECT group_id, idx, sum(size - size % 3) OVER (PARTITION BY group_id ORDER BY idx) - CASE WHEN group_id % 5 = 0 THEN 30 * (idx % 3) ELSE 0 END AS start FROM s),
+ n AS (SELECT a.group_id, a.idx, a.start::BIGINT AS start, coalesce(c.start, 200)::BIGINT AS nxt FROM y a LEFT JOIN y c ON c.group_id = a.group_id AND c.idx = a.idx + 1)
+SELECT group_id, idx::INTEGER AS idx, start, nxt - start AS length, bool_and(start <= nxt) OVER (PARTITION BY group_id) AS valid FROM n""")
+def loose_successor_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running quantities in threes taken for starts: equal ones are empty ranges; every fifth order falls back somewhere."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("group_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    start = F.sum(F.col("size") - F.col("size") % 3).over(w) - F.when(F.col("group_id") % 5 == 0, 30 * (F.col("idx") % 3)).otherwise(0)
+    return layout.successor_ranges(sizes(spark, sf_dir).select("group_id", "idx", start.alias("start")), F.lit(200).cast("long"), False)
+
+
 from bytelode.plans import columns, directories, rules  # noqa: E402, F401  (they register their queries)
