@@ -91,11 +91,14 @@ class Kept:
         if self.size >= self.max_bytes:
             self.old, self.new, self.size = self.new, {}, 0
         new, old = self.new, self.old
-        missing = [k for k in keys.difference(new) if k not in old or new.setdefault(k, old[k]) is None]
-        values = make(missing) if missing else []
-        new.update(zip(missing, values, strict=True))
+        away = keys.difference(new)
+        back = [k for k in away if k in old]
+        new.update(zip(back, map(old.__getitem__, back), strict=True))
+        missing = [k for k in away if k not in old] if back else list(away)
+        if missing:
+            new.update(zip(missing, make(missing), strict=True))
         long = [k for k in missing if len(k) > self.longest]
-        self.size += sum(map(len, missing)) - sum(map(len, long)) + self.OVERHEAD * len(missing)
+        self.size += sum(map(len, back)) + sum(map(len, missing)) - sum(map(len, long)) + self.OVERHEAD * len(away)
         return long
 
     def folded(self, lists, make, fold, segment: int = 1 << 18) -> list:
