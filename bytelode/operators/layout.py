@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bytelode.functions.binary import align_up, div, span, zeros
+from bytelode.sources.scratch import written
 
 
 def _in_order(group: str, order: str):
@@ -159,9 +160,16 @@ def composite_bytes(segments: DataFrame, sources: DataFrame, key: str = "composi
     Segments ``(key, seg_no, source_id, start, length)`` follow one another; one without a source is a
     hole of zeros. A composite with a segment outside its source has NULL content. Sources are
     ``(source_id, content)``; a composite's own bytes come together, as its content is one value.
+
+    Every range that segments share is cut from its source once and written, so that segments meet
+    pieces, not sources; few pieces are sent to the segments, which are then shuffled only by composite.
     """
-    met = segments.join(sources.select("source_id", F.col("content").alias("__c")), "source_id", "left")
-    piece = F.when(F.col("source_id").isNull(), zeros(F.col("length"))).otherwise(span(F.col("__c"), F.col("start"), F.col("length")))
-    by = met.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seg_no", F.hex(piece).alias("digits")))).alias("p"))
-    whole = F.when(~F.exists("p", lambda x: x["digits"].isNull()), F.unhex(F.array_join(F.col("p.digits"), "")))
+    at = ["source_id", "start", "length"]
+    ranges = segments.where("source_id is not null").select(*at).distinct().groupBy("source_id").agg(F.collect_list(F.struct("start", "length")).alias("__ranges"))
+    each = sources.select("source_id", F.col("content").alias("__c")).join(ranges, "source_id").select("source_id", "__c", F.explode("__ranges").alias("__r"))
+    cut = each.select("source_id", "__r.start", "__r.length", span(F.col("__c"), F.col("__r.start"), F.col("__r.length")).alias("__piece"))
+    met = segments.join(written(cut, "pieces"), at, "left")
+    piece = F.when(F.col("source_id").isNull(), zeros(F.col("length"))).otherwise(F.col("__piece"))
+    by = met.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seg_no", piece.alias("piece")))).alias("p"))
+    whole = F.when(~F.exists("p", lambda x: x["piece"].isNull()), F.unhex(F.array_join(F.transform("p", lambda x: F.hex(x["piece"])), "")))
     return by.select(key, whole.alias("content"))

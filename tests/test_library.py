@@ -260,6 +260,14 @@ def test_golden_rows_that_are_missing(spark):
     assert got == {1: ("missing", None), 2: ("different", "v"), 3: ("equal", None), 4: ("unexpected", None)}
 
 
+def test_composite_bytes_meet_pieces_and_not_whole_sources(spark):
+    sources = spark.createDataFrame([(1, bytearray(b"abcdef")), (2, bytearray(b"xyz"))], "source_id long, content binary")
+    rows = [(7, 2, 2, 0, 3), (7, 0, 1, 1, 3), (7, 1, None, 0, 2), (8, 0, 2, 1, 3), (9, 0, 3, 0, 1), (10, 0, 1, 1, 3), (10, 1, 1, 6, 0)]
+    got = layout.composite_bytes(spark.createDataFrame(rows, "composite_id long, seg_no int, source_id long, start long, length long"), sources)
+    assert {r.composite_id: r.content and bytes(r.content) for r in got.collect()} == {7: b"bcd\0\0xyz", 8: None, 9: None, 10: b"bcd"}
+    assert "__c" not in got._jdf.queryExecution().optimizedPlan().toString()  # sources are not shuffled or copied by segment
+
+
 def test_adler_and_bits_by_definition(spark):
     data = [b"", b"a", bytes(range(256)) * 20, b"\xff" * 9000]
     got = spark.createDataFrame([(bytearray(x),) for x in data], "c binary").select(binary.adler32(F.col("c"))).collect()
