@@ -6,9 +6,13 @@ Every read is guarded by the carrier's length: a read past the end is NULL, and
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from bytelode.functions.codecs import bytes_udf
+
 
 def span(c: Column, offset, length) -> Column:
     """Exactly ``length`` bytes at ``offset``; NULL if they are not all there."""
@@ -279,13 +283,5 @@ def half_value(word: Column) -> Column:
 
 
 def adler32(c: Column) -> Column:
-    """Adler-32 of a carrier, by its sums of bytes and of running sums; 1 for no bytes. Exact for carriers of up to 200 million bytes."""
-    n = F.octet_length(c)
-    start = F.struct(F.lit(1).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
-
-    def step(s: Column, i: Column) -> Column:
-        a = s["a"] + F.conv(F.hex(F.substring(c, i, F.lit(1))), 16, 10).cast("long")
-        return F.struct(a.alias("a"), (s["b"] + a).alias("b"))
-
-    whole = F.aggregate(F.sequence(F.lit(1), n), start, step, lambda s: (s["b"] % 65521) * 65536 + s["a"] % 65521)
-    return F.when(n == 0, F.lit(1).cast("long")).otherwise(whole)
+    """Adler-32 of a carrier, by zlib in an Arrow UDF; 1 for no bytes."""
+    return bytes_udf(zlib.adler32, "long")(c)

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import duckdb
@@ -274,6 +275,15 @@ def test_adler_and_bits_by_definition(spark):
     assert [r[0] for r in got] == [zlib.adler32(x) for x in data]
 
 
+def test_adler_of_a_long_carrier_is_quick(spark):
+    long = spark.range(1).select(F.encode(F.repeat(F.lit("0123456789abcdef"), 2_000_000), "utf-8").alias("c"))
+    began = time.time()
+    assert long.select(binary.adler32(F.col("c"))).first()[0] == zlib.adler32(b"0123456789abcdef" * 2_000_000)
+    assert time.time() - began < 8
+    nothing = spark.createDataFrame([(None,)], "c binary").select(binary.adler32(F.col("c"))).first()[0]
+    assert nothing is None
+
+
 def test_walks_end_with_their_frontier_and_are_bounded(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "parent string, child string")
     roots = spark.createDataFrame([("a",)], "node string")
