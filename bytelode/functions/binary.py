@@ -44,17 +44,28 @@ def byte_at(c: Column, offset: Column) -> Column:
     return F.when((offset >= 0) & (offset < F.octet_length(c)), F.conv(F.hex(F.substring(c, (offset + 1).cast("int"), F.lit(1))), 16, 10).cast("bigint"))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _hex_word(digits: Column, width: int, big: bool) -> Column:
+    """The number of a word's hex digits."""
+    order = range(width) if big else reversed(range(width))
+    return F.conv(digits if big else F.concat(*(F.substring(digits, 2 * k + 1, 2) for k in order)), 16, 10).cast("bigint")
+
+
 def word_at(c: Column, offset: Column, width: int = 4, big: bool = False) -> Column:
     """An unsigned number of 1 to 7 bytes at a place that differs by row; NULL past the end."""
-    at = range(width) if big else reversed(range(width))
-    digits = F.concat(*(F.hex(F.substring(c, (offset + (k + 1)).cast("int"), F.lit(1))) for k in at))
-    return F.when((offset >= 0) & (F.octet_length(c) >= offset.cast("long") + width), F.conv(digits, 16, 10).cast("bigint"))
+    digits = F.hex(F.substring(c, (offset + 1).cast("int"), F.lit(width)))
+    return F.when((offset >= 0) & (F.octet_length(c) >= offset.cast("long") + width), _hex_word(digits, width, big))
 
 
 def words_at(c: Column, offset: Column, count: Column, width: int = 4, big: bool = False) -> Column:
     """``count`` unsigned numbers, one after the other; none for a count below one."""
     none = F.array().cast("array<bigint>")
-    return F.when(count >= 1, F.transform(F.sequence(F.lit(0), count - 1), lambda i: word_at(c, offset + i * width, width, big))).otherwise(none)
+    digits = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.when(offset + i * width >= 0, F.hex(F.substring(c, (offset + i * width + 1).cast("int"), F.lit(width)))))
+    return F.when(count >= 1, F.transform(digits, lambda h: F.when(F.length(h) == 2 * width, _hex_word(h, width, big)))).otherwise(none)
 
 
 def uints(c: Column, offset: int, count: int, width: int, big: bool = False) -> Column:
@@ -91,8 +102,17 @@ def _hex_bytes(digits: Column, width: int, big: bool) -> Column:
     return F.unhex(F.concat(*(parts if big else reversed(parts))))
 
 
+def _uint_hex(v: Column, width: int, big: bool) -> Column:
+    """The hex digits of ``uint_bytes``, for 1 to 7 bytes by whole-number arithmetic."""
+    v = v.try_cast("long")
+    turned = v if big or width == 1 else sum((F.shiftleft(F.shiftright(v, 8 * k).bitwiseAND(F.lit(255)), 8 * (width - 1 - k)) for k in range(1, width)), F.shiftleft(v.bitwiseAND(F.lit(255)), 8 * (width - 1)))
+    return F.when((v >= 0) & (v < 1 << 8 * width), F.lpad(F.hex(turned), 2 * width, "0"))
+
+
 def uint_bytes(v: Column, width: int, big: bool = False) -> Column:
     """The bytes of an unsigned number of 1 to 8 bytes (BIGINT or DECIMAL(20,0)); NULL if it is negative or too wide."""
+    if width < 8:
+        return F.unhex(_uint_hex(v, width, big))
     whole = v.cast("decimal(20,0)")
     return F.when((whole >= 0) & (whole < F.lit(str(1 << 8 * width)).cast("decimal(20,0)")), _hex_bytes(F.lpad(F.conv(whole.cast("string"), 10, 16), 2 * width, "0"), width, big))
 
@@ -106,9 +126,12 @@ def sint_bytes(v: Column, width: int, big: bool = False) -> Column:
 
 def array_bytes(values: Column, width: int, signed: bool = False, big: bool = False) -> Column:
     """The bytes of an array of numbers; NULL if any does not fit."""
-    one = sint_bytes if signed else uint_bytes
-    packed = F.transform(values, lambda v: F.hex(one(v, width, big)))
-    return F.when(~F.exists(packed, lambda x: x.isNull()), F.unhex(F.array_join(packed, "")))
+    if signed or width == 8:
+        one = sint_bytes if signed else uint_bytes
+        packed = F.transform(values, lambda v: F.hex(one(v, width, big)))
+    else:
+        packed = F.transform(values, lambda v: _uint_hex(v, width, big))
+    return let(packed, lambda p: F.when(~F.exists(p, lambda x: x.isNull()), F.unhex(F.array_join(p, ""))))
 
 
 def splice(c: Column, offset, replacement: Column) -> Column:

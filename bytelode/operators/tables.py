@@ -1,7 +1,7 @@
 """Directory tables at the start of a carrier: each is read, checked and turned to ranges within its row.
 
-A table's words are an array, bounded by its own declared size, and neighbours are compared
-by array functions: no row meets another, so nothing is shuffled. Results are a struct
+A table's words are an array, read once, of a table that is all there and no longer than
+allowed, and neighbours are compared by array functions: no row meets another, so nothing is shuffled. Results are a struct
 ``(status, at, ranges)``: the first error in a fixed order of checks, the index of the word
 that it is about (NULL where it is about none), and, of a table without error, its ranges as
 ``(start, length)``.
@@ -12,19 +12,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from bytelode.functions.binary import word_at, words_at, zeros
+from bytelode.functions.binary import let, word_at, words_at, zeros
 
 _RANGES = "array<struct<start: bigint, length: bigint>>"
 
 
 def _judged(checks: list[tuple[str, Column, Column | None]], ranges: Column) -> Column:
     """The first of (name, broken, index) that holds, else ``ok`` and the ranges."""
-    status, at = F.lit("ok"), F.lit(None).cast("int")
+    none = F.lit(None).cast("int")
+    found = F.struct(F.lit("ok").alias("status"), none.alias("at"))
     for name, broken, index in reversed(checks):
-        broken = F.coalesce(broken, F.lit(False))
-        status = F.when(broken, name).otherwise(status)
-        at = F.when(broken, index if index is not None else F.lit(None).cast("int")).otherwise(at)
-    return F.struct(status.alias("status"), at.cast("int").alias("at"), F.when(status == "ok", ranges).cast(_RANGES).alias("ranges"))
+        one = F.struct(F.lit(name).alias("status"), (none if index is None else index.cast("int")).alias("at"))
+        found = F.when(F.coalesce(broken, F.lit(False)), one).otherwise(found)
+    return let(found, lambda f: F.struct(f["status"].alias("status"), f["at"].alias("at"), F.when(f["status"] == "ok", ranges).cast(_RANGES).alias("ranges")))
 
 
 def _first(values: Column, bad) -> Column:
@@ -48,15 +48,18 @@ def counted_boundaries(content: Column, members: Column, alignment: int, source_
     """
     source = source_length if source_length is not None else F.octet_length(content).cast("long")
     directory = (members + 2).cast("long") * 4
-    words = words_at(content, F.lit(4), members + 1)
-    boundary = _first(words, lambda x, i: (x % alignment != 0) | (x > source))
-    order = _first(words, lambda x, i: (i > 0) & (x <= F.get(words, i - 1)))
-    first, last = F.get(words, F.lit(0)), F.get(words, members)
-    checks = [("truncated", F.octet_length(content) < directory, None), ("boundary", boundary.isNotNull(), boundary), ("closure", (first < directory) | (last != source), None)]
-    if resident:
-        gap = (first - directory).cast("int")
-        checks.append(("closure", F.substring(content, (directory + 1).cast("int"), gap) != zeros(gap), None))
-    return _judged([*checks, ("order", order.isNotNull(), order)], _between(words))
+
+    def judged(words: Column) -> Column:
+        boundary = _first(words, lambda x, i: (x % alignment != 0) | (x > source))
+        order = _first(words, lambda x, i: (i > 0) & (x <= F.get(words, i - 1)))
+        first, last = F.get(words, F.lit(0)), F.get(words, members)
+        checks = [("truncated", F.octet_length(content) < directory, None), ("boundary", boundary.isNotNull(), boundary), ("closure", (first < directory) | (last != source), None)]
+        if resident:
+            gap = (first - directory).cast("int")
+            checks.append(("closure", F.substring(content, (directory + 1).cast("int"), gap) != zeros(gap), None))
+        return _judged([*checks, ("order", order.isNotNull(), order)], _between(words))
+
+    return let(words_at(content, F.lit(4), F.when(F.octet_length(content) >= directory, members + 1).otherwise(0)), judged)
 
 
 def first_word_offsets(content: Column, source_length: Column, ceiling: int) -> Column:
@@ -65,11 +68,17 @@ def first_word_offsets(content: Column, source_length: Column, ceiling: int) ->
     Checks: ``truncated``, ``table_length``, ``table_at_end``, ``unavailable`` (the carrier
     holds less than the table), ``offset`` (not above the one before, or not before the end).
     """
-    size = word_at(content, F.lit(0))
-    words = words_at(content, F.lit(0), (size / 4).cast("int"))
-    bad = _first(words, lambda x, i: (i > 0) & ((x <= F.get(words, i - 1)) | (x >= source_length)))
-    checks = [("truncated", size.isNull(), None), ("table_length", (size < 4) | (size % 4 != 0) | (size > ceiling), None), ("table_at_end", size >= source_length, None), ("unavailable", F.octet_length(content) < size, None), ("offset", bad.isNotNull(), bad)]
-    return _judged(_bounded(checks, "table_length"), _between(F.concat(words, F.array(source_length.cast("long")))))
+
+    def judged(size: Column) -> Column:
+        faults = [("truncated", size.isNull(), None), ("table_length", (size < 4) | (size % 4 != 0) | (size > ceiling), None), ("table_at_end", size >= source_length, None), ("unavailable", F.octet_length(content) < size, None)]
+
+        def checked(words: Column) -> Column:
+            bad = _first(words, lambda x, i: (i > 0) & ((x <= F.get(words, i - 1)) | (x >= source_length)))
+            return _judged([*faults, ("offset", bad.isNotNull(), bad)], _between(F.concat(words, F.array(source_length.cast("long")))))
+
+        return let(words_at(content, F.lit(0), _count(faults, size)), checked)
+
+    return let(word_at(content, F.lit(0)), judged)
 
 
 def terminal_offsets(content: Column, source_length: Column, ceiling: int) -> Column:
@@ -78,20 +87,25 @@ def terminal_offsets(content: Column, source_length: Column, ceiling: int) -> Co
     Checks: ``truncated``, ``table_length``, ``unavailable``, ``offset`` (unaligned, within
     the table, past the end or below the one before), ``terminal`` (the last is not the end).
     """
-    size = word_at(content, F.lit(0))
-    words = words_at(content, F.lit(0), (size / 4).cast("int"))
-    bad = _first(words, lambda x, i: (i > 0) & ((x % 4 != 0) | (x < size) | (x > source_length) | (x < F.get(words, i - 1))))
-    checks = [("truncated", size.isNull(), None), ("table_length", (size < 8) | (size % 4 != 0) | (size > ceiling) | (size > source_length), None), ("unavailable", F.octet_length(content) < size, None), ("offset", bad.isNotNull(), bad), ("terminal", F.element_at(words, -1) != source_length, None)]
-    return _judged(_bounded(checks, "table_length"), _between(words))
-
-
-def _bounded(checks: list, until: str) -> list:
-    """Later checks are asked only where those up to ``until`` hold, so that no array is longer than a valid table."""
-    k = [name for name, _, _ in checks].index(until) + 1
-    broken = checks[0][1]
-    for _, b, _ in checks[1:k]:
-        broken = broken | F.coalesce(b, F.lit(False))
-    return checks[:k] + [(name, ~broken & b, F.when(~broken, at) if at is not None else None) for name, b, at in checks[k:]]
+
+    def judged(size: Column) -> Column:
+        faults = [("truncated", size.isNull(), None), ("table_length", (size < 8) | (size % 4 != 0) | (size > ceiling) | (size > source_length), None), ("unavailable", F.octet_length(content) < size, None)]
+
+        def checked(words: Column) -> Column:
+            bad = _first(words, lambda x, i: (i > 0) & ((x % 4 != 0) | (x < size) | (x > source_length) | (x < F.get(words, i - 1))))
+            return _judged([*faults, ("offset", bad.isNotNull(), bad), ("terminal", F.element_at(words, -1) != source_length, None)], _between(words))
+
+        return let(words_at(content, F.lit(0), _count(faults, size)), checked)
+
+    return let(word_at(content, F.lit(0)), judged)
+
+
+def _count(faults: list, size: Column) -> Column:
+    """The words of a table without these faults, else none, so that no array is longer than a valid table."""
+    broken = F.lit(False)
+    for _, fault, _ in faults:
+        broken = broken | F.coalesce(fault, F.lit(False))
+    return F.when(~broken, (size / 4).cast("int")).otherwise(0)
 
 
 def offset_length_rows(content: Column, start: int, count: int, stride: int, offset_at: int, length_at: int, big: bool = False) -> Column:

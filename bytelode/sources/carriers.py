@@ -19,9 +19,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(group_id, idx, size)``: the quantities of each order in a total order of its lines, as line numbers repeat."""
-    line = table(spark, sf_dir, "lineitem")
-    w = Window.partitionBy("l_orderkey").orderBy(*line.columns)
+    """``(group_id, idx, size)``: the quantities of each order in a total order of its lines, as line numbers repeat.
+
+    Lines that are equal up to their quantity have the same size, so further columns cannot change a row.
+    """
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
+    w = Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
     return line.select(F.col("l_orderkey").alias("group_id"), F.row_number().over(w).alias("idx"), F.col("l_quantity").cast("long").alias("size"))
 
 

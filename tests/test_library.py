@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from bytelode.functions import binary, codecs, pixels
-from bytelode.operators import catalog, layout
+from bytelode.operators import catalog, layout, tables
 from bytelode.plans import registry
 from bytelode.sources import carriers
 
@@ -255,6 +255,33 @@ def test_directory_tables_on_the_smallest_carriers(spark):
     assert spliced[0].r.status == "ok" and bytes(spliced[0].r.content) == b"0123"
 
 
+def test_tables_read_their_words_once(spark):
+    df = spark.createDataFrame([(b"".join(x.to_bytes(4, "little") for x in (1, 12, 16)) + b"abcd",)], "c binary")
+    c = F.col("c")
+    found = {"counted": tables.counted_boundaries(c, F.lit(1), 4), "first": tables.first_word_offsets(c, F.lit(16), 8), "terminal": tables.terminal_offsets(c, F.lit(16), 8)}
+    for name, column in found.items():
+        plan = df.select(column.alias("r"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("conv(") <= 2, name  # the size word and the words
+
+
+def test_words_and_their_bytes_at_the_limits(spark):
+    values = [0, 1, 255, 256, (1 << 24) - 1, (1 << 32) - 1, 1 << 32, -1, (1 << 56) - 1, None]
+    df = spark.createDataFrame([(v,) for v in values], "v long")
+    for width in range(1, 9):
+        for big in (False, True):
+            got = [r[0] and bytes(r[0]) for r in df.select(binary.uint_bytes(F.col("v"), width, big)).collect()]
+            assert got == [None if v is None or not 0 <= v < 1 << 8 * width else v.to_bytes(width, "big" if big else "little") for v in values]
+    data = bytes(range(200, 256))
+    c = spark.createDataFrame([(bytearray(data),)], "c binary")
+    for width in range(1, 8):
+        for big in (False, True):
+            order = "big" if big else "little"
+            got = c.select(binary.words_at(F.col("c"), F.lit(1), F.lit(9), width, big).alias("w"), binary.word_at(F.col("c"), F.lit(3), width, big).alias("x"), binary.word_at(F.col("c"), F.lit(56 - width + 1), width, big).alias("none")).first()
+            want = [data[at : at + width] for at in range(1, 1 + 9 * width, width)]
+            assert got.w == [int.from_bytes(x, order) if len(x) == width else None for x in want]
+            assert (got.x, got.none) == (int.from_bytes(data[3 : 3 + width], order), None)
+
+
 def test_golden_rows_that_are_missing(spark):
     expected, actual = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id long, v string"), spark.createDataFrame([(2, "c"), (3, None), (4, "d")], "id long, v string")
     got = {r.id: (r.status, r.fields) for r in catalog.compare_golden(expected, actual, "id", ["v"]).collect()}
