@@ -122,15 +122,17 @@ def chunk(content: Column, offset: int, big: bool = False, inclusive: bool = Fal
     ``inclusive`` sizes count the eight header bytes. Status: ``short_header``, ``too_small``, ``past_end`` or ``ok``.
     """
     n = F.octet_length(content).cast("long")
-    size = word_at(content, F.lit(offset + 4), 4, big)
+    head = F.when(n >= offset + 8, F.hex(F.substring(content, F.lit(offset + 1), F.lit(4))))
     start = F.lit(offset + 8).cast("long")
-    end = size + (offset if inclusive else offset + 8)
-    status = F.when(n < offset + 8, "short_header")
-    if inclusive:
-        status = status.when(size < 8, "too_small")
-    status = status.when(end > n, "past_end").otherwise("ok")
-    good = status == "ok"
-    return F.struct(status.alias("status"), F.when(n >= offset + 8, F.hex(F.substring(content, F.lit(offset + 1), F.lit(4)))).alias("tag"), F.when(good, start).alias("start"), F.when(good, end).alias("end"))
+
+    def judged(size: Column) -> Column:
+        end = size + (offset if inclusive else offset + 8)
+        status = F.when(size.isNull(), "short_header")
+        if inclusive:
+            status = status.when(size < 8, "too_small")
+        return let(status.when(end > n, "past_end").otherwise("ok"), lambda s: F.struct(s.alias("status"), head.alias("tag"), F.when(s == "ok", start).alias("start"), F.when(s == "ok", end).alias("end")))
+
+    return let(word_at(content, F.lit(offset + 4), 4, big), judged)
 
 
 def child_run(first: Column, count: Column, total: Column) -> Column:
