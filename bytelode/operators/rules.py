@@ -312,28 +312,23 @@ def pair_ledger(pairs: DataFrame, codec: str = "codec", key: str = "id", samples
     """Encoded bytes against stored ones by codec: total, exact, refused, diverged and other lengths, the shallowest divergence, sample keys, and whether all are exact.
 
     Pairs are ``(codec, key, stored, encoded)``; a NULL encoding is a refusal. A divergence is
-    at the first byte that differs within the shorter of the two, found by blocks of 256 bytes.
+    at the first byte that differs within the shorter of the two: the longest equal start is found by halving steps.
     Samples are the ``samples`` least keys of pairs that are not exact.
     """
-    from bytelode.functions.binary import div
-
     n = F.least(F.octet_length("stored"), F.octet_length("encoded"))
 
-    def differs(at: Column, size: Column) -> Column:
-        return F.substring("stored", at + 1, size) != F.substring("encoded", at + 1, size)
-
-    def within(block: Column) -> Column:
-        places = F.sequence(F.lit(0), F.lit(255))
-        return F.get(F.filter(places, lambda i: (block * 256 + i < n) & differs(block * 256 + i, F.lit(1))), F.lit(0)) + block * 256
+    def grown(same: Column, size: Column) -> Column:
+        equal = F.when(size <= n - same, F.substring("stored", same + 1, size) == F.substring("encoded", same + 1, size))
+        return F.when(equal, same + size).otherwise(same)
 
-    blocks = F.sequence(F.lit(0), F.greatest(div(n - 1, 256), F.lit(0)).cast("int"))
-    block = F.filter(blocks, lambda k: (k * 256 < n) & differs(k * 256, F.least(F.lit(256), n - k * 256)))
-    at = F.when(F.col("encoded").isNotNull() & (F.col("encoded") != F.col("stored")), F.get(F.transform(F.slice(block, 1, 1), within), F.lit(0)))
+    same = F.aggregate(F.array(*(F.lit(1 << bit) for bit in range(30, -1, -1))), F.lit(0), grown)
+    at = F.when(F.col("encoded").isNotNull() & (F.col("encoded") != F.col("stored")), same)
+    at = F.when(at < n, at)
     outcome = F.when(F.col("encoded").isNull(), "refused").when(F.col("encoded") == F.col("stored"), "exact").when(F.col("at").isNotNull(), "divergence").otherwise("length")
     judged = pairs.withColumn("at", at).withColumn("outcome", outcome)
     exact = F.count_if(F.col("outcome") == "exact")
     by = judged.groupBy(codec).agg(F.count("*").alias("total"), exact.alias("exact"), F.count_if(F.col("outcome") == "refused").alias("refused"), F.count_if(F.col("outcome") == "divergence").alias("diverged"), F.count_if(F.col("outcome") == "length").alias("other_length"), F.min("at").alias("shallowest"))
-    least = judged.where("outcome <> 'exact'").select(codec, key)
+    least = pairs.where(F.col("encoded").isNull() | ~F.col("encoded").eqNullSafe(F.col("stored"))).select(codec, key)
     ranked = least.groupBy(codec, F.pmod(F.xxhash64(key), F.lit(64)).alias("part")).agg(F.slice(F.array_sort(F.collect_set(key)), 1, samples).alias("keys"))
     sampled = ranked.groupBy(codec).agg(F.slice(F.array_sort(F.flatten(F.collect_list("keys"))), 1, samples).alias("samples"))
     return by.join(sampled, codec, "left").withColumn("bit_exact", (F.col("total") > 0) & (F.col("exact") == F.col("total")))

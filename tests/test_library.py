@@ -282,6 +282,20 @@ def test_words_and_their_bytes_at_the_limits(spark):
             assert (got.x, got.none) == (int.from_bytes(data[3 : 3 + width], order), None)
 
 
+def test_divergences_of_long_carriers_are_found_quickly(spark):
+    from bytelode.operators import rules
+
+    long = bytes(range(256)) * 80_000
+    rows = [(1, b"abc", b"abd"), (2, b"abc", b"xbc"), (3, b"abc", b"ab"), (4, b"", b"a"), (5, b"abc", b"abc"), (6, b"abc", None), (7, b"abcde", b"abcXeYY"), (8, b"", b"")]
+    df = spark.createDataFrame([(f"c{k}", k, a, b) for k, a, b in rows], "codec string, id long, stored binary, encoded binary")
+    got = {r.codec: (r.shallowest, r.exact, r.refused, r.diverged, r.other_length, r.samples) for r in rules.pair_ledger(df).collect()}
+    assert got == {"c1": (2, 0, 0, 1, 0, [1]), "c2": (0, 0, 0, 1, 0, [2]), "c3": (None, 0, 0, 0, 1, [3]), "c4": (None, 0, 0, 0, 1, [4]), "c5": (None, 1, 0, 0, 0, None), "c6": (None, 0, 1, 0, 0, [6]), "c7": (3, 0, 0, 1, 0, [7]), "c8": (None, 1, 0, 0, 0, None)}
+    big = spark.createDataFrame([("c", 1, bytearray(long), bytearray(long[:-2] + b"!" + long[-1:]))], "codec string, id long, stored binary, encoded binary")
+    began = time.time()
+    assert rules.pair_ledger(big).first().shallowest == len(long) - 2
+    assert time.time() - began < 15
+
+
 def test_golden_rows_that_are_missing(spark):
     expected, actual = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id long, v string"), spark.createDataFrame([(2, "c"), (3, None), (4, "d")], "id long, v string")
     got = {r.id: (r.status, r.fields) for r in catalog.compare_golden(expected, actual, "id", ["v"]).collect()}
