@@ -339,18 +339,18 @@ def usage_snapshot(charges: DataFrame, limits: dict[str, int], group: str, order
 
     Charges of one order are a batch, admitted as a whole or not at all; the first batch that
     any dimension denies ends the job and spends nothing. ``peak`` is the largest admitted charge;
-    ``complete`` says that nothing was denied.
+    ``complete`` says that nothing was denied. Charges that come together by group stay so.
     """
     from pyspark.sql import Window
 
     limit = F.create_map(*(x for name, n in limits.items() for x in (F.lit(name), F.lit(n).cast("long"))))
-    batch = charges.groupBy(group, order, "dimension").agg(F.sum("amount").alias("amount"))
+    batch = charges.where(F.col(group).isNotNull()).groupBy(group, order, "dimension").agg(F.sum("amount").alias("amount"))
     w = Window.partitionBy(group, "dimension").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     run = batch.withColumn("total", F.sum("amount").over(w)).withColumn("limit", F.element_at(limit, F.col("dimension")))
-    denied = run.groupBy(group).agg(F.min(F.when(F.col("total") > F.col("limit"), F.col(order))).alias("denied"))
+    first = F.min(F.when(F.col("total") > F.col("limit"), F.col(order))).over(Window.partitionBy(group))
     admitted = F.col("denied").isNull() | (F.col(order) < F.col("denied"))
     amount = F.when(admitted, F.col("amount")).otherwise(F.lit(0).cast("long"))
-    by = run.join(denied, group).groupBy(group, "dimension").agg(F.sum(amount).alias("spent"), F.max(amount).alias("peak"), F.first("limit").alias("limit"), F.bool_and(F.col("denied").isNull()).alias("complete"))
+    by = run.withColumn("denied", first).groupBy(group, "dimension").agg(F.sum(amount).alias("spent"), F.max(amount).alias("peak"), F.first("limit").alias("limit"), F.bool_and(F.col("denied").isNull()).alias("complete"))
     return by.select(group, "dimension", "spent", "peak", (F.col("limit") - F.col("spent")).alias("remaining"), "complete")
 
 

@@ -296,6 +296,17 @@ def test_divergences_of_long_carriers_are_found_quickly(spark):
     assert time.time() - began < 15
 
 
+def test_usage_is_one_exchange_where_charges_come_by_group(spark):
+    from bytelode.operators import rules
+
+    rows = [("g", 1, "a", 3), ("g", 2, "a", 3), ("g", 2, "b", 1), ("g", 3, "a", 1), ("h", 1, "a", 5), (None, 1, "a", 1)]
+    charges = spark.createDataFrame(rows, "g string, i int, dimension string, amount long").repartition(4, "g")
+    used = rules.usage_snapshot(charges, {"a": 5, "b": 5}, "g", "i")
+    got = {(r.g, r.dimension): (r.spent, r.peak, r.remaining, r.complete) for r in used.collect()}
+    assert got == {("g", "a"): (3, 3, 2, False), ("g", "b"): (0, 0, 5, False), ("h", "a"): (5, 5, 0, True)}
+    assert used._jdf.queryExecution().sparkPlan().toString().count("Join") == 0
+
+
 def test_golden_rows_that_are_missing(spark):
     expected, actual = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id long, v string"), spark.createDataFrame([(2, "c"), (3, None), (4, "d")], "id long, v string")
     got = {r.id: (r.status, r.fields) for r in catalog.compare_golden(expected, actual, "id", ["v"]).collect()}
