@@ -83,11 +83,17 @@ def first_violation(rows: DataFrame, key: list[str], checks: list[tuple[str, Col
 def probe_conflicts(probes: DataFrame) -> DataFrame:
     """Pairs of formats of equal precedence whose magics overlap and agree where they do: ``(a, b)``.
 
-    Magics ``(format, precedence, at, digits)`` at the same place and of one width meet by
-    equality. Others meet by the digits of the shared stretch, which is the same for all
-    pairs of two shapes, and shapes are few.
+    Magics are ``(format, precedence, at, digits)``. Formats with the same magics are a class, and
+    only classes meet; pairs of classes are then spread to their formats, where each pair
+    comes once, so that nothing is gathered by pair of formats.
+
+    Magics at the same place and of one width meet by equality. Others meet by the digits of
+    the shared stretch, which is the same for all pairs of two shapes, and shapes are few.
     """
-    shaped = probes.withColumns({"w": F.length("digits")})
+    alike = probes.where("format is not null").groupBy("format").agg(F.array_sort(F.collect_set(F.struct("precedence", "at", "digits"))).alias("magics"))
+    classes = alike.groupBy("magics").agg(F.min("format").alias("class"))
+    members = alike.join(classes, "magics").select("class", "format")
+    shaped = classes.select("class", F.inline("magics")).withColumns({"w": F.length("digits")})
     shapes = shaped.select("at", "w").distinct()
     left, right = shapes.select(F.col("at").alias("a1"), F.col("w").alias("w1")), shapes.select(F.col("at").alias("a2"), F.col("w").alias("w2"))
     low, high = F.greatest("a1", "a2"), F.least(F.col("a1") + F.col("w1"), F.col("a2") + F.col("w2"))
@@ -97,10 +103,12 @@ def probe_conflicts(probes: DataFrame) -> DataFrame:
         at, w = f"a{n}", f"w{n}"
         joined = shaped.join(meeting, (F.col("at") == F.col(at)) & (F.col("w") == F.col(w)))
         shared = F.substring("digits", F.col("low") - F.col("at") + 1, F.col("high") - F.col("low"))
-        return joined.select("precedence", "a1", "w1", "a2", "w2", shared.alias("shared"), F.col("format").alias(name))
+        return joined.select("precedence", "a1", "w1", "a2", "w2", shared.alias("shared"), F.col("class").alias(name))
 
-    met = side(1, "a").join(side(2, "b"), ["precedence", "a1", "w1", "a2", "w2", "shared"]).where("a < b")
-    return met.select("a", "b").distinct()
+    met = side(1, "c1").join(side(2, "c2"), ["precedence", "a1", "w1", "a2", "w2", "shared"]).where("c1 <= c2").select("c1", "c2").distinct()
+    one, two = members.select(F.col("class").alias("c1"), F.col("format").alias("f1")), members.select(F.col("class").alias("c2"), F.col("format").alias("f2"))
+    spread = met.join(one, "c1").join(two, "c2").where("c1 <> c2 or f1 < f2")
+    return spread.select(F.least("f1", "f2").alias("a"), F.greatest("f1", "f2").alias("b"))
 
 
 def shared_extensions(hints: DataFrame) -> DataFrame:

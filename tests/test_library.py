@@ -307,6 +307,22 @@ def test_usage_is_one_exchange_where_charges_come_by_group(spark):
     assert used._jdf.queryExecution().sparkPlan().toString().count("Join") == 0
 
 
+def test_conflicts_of_copies_are_not_gathered_by_pair(spark):
+    rnd = random.Random(5)
+    rows = [(k // 2, rnd.randint(1, 2), 2 * rnd.randint(0, 2), "".join(rnd.choices("0a", k=rnd.choice((0, 2, 4))))) for k in range(120)] + [(300, 1, 0, None), (None, 1, 0, "0a")]
+    got = catalog.probe_conflicts(spark.createDataFrame(rows, "format long, precedence int, at int, digits string"))
+    want = set()
+    for f, p, a, d in rows:
+        for g, q, b, e in rows:
+            if None not in (f, g, d, e) and f < g and p == q:
+                low, high = max(a, b), min(a + len(d), b + len(e))
+                if low < high and d[low - a : high - a] == e[low - b : high - b]:
+                    want.add((f, g))
+    pairs = [(r.a, r.b) for r in got.collect()]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == want and want
+    assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+
+
 def test_golden_rows_that_are_missing(spark):
     expected, actual = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id long, v string"), spark.createDataFrame([(2, "c"), (3, None), (4, "d")], "id long, v string")
     got = {r.id: (r.status, r.fields) for r in catalog.compare_golden(expected, actual, "id", ["v"]).collect()}
