@@ -401,7 +401,7 @@ def block_textures(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("content")
     rows = documents(spark, sf_dir).withColumn("rows1", F.floor(F.octet_length(c) / 128).cast("int")).where("rows1 >= 2")
     height3 = (F.floor(F.octet_length(c) / 256) * 4).cast("int")
-    return rows.select("doc_id", F.sha2(pixels.decode_blocks("dxt1")(c, F.lit(64), F.col("rows1") * 4), 256).alias("dxt1"), F.sha2(pixels.decode_blocks("dxt3")(c, F.lit(64), height3), 256).alias("dxt3"), F.sha2(pixels.decode_blocks("dxt5")(c, F.lit(64), height3), 256).alias("dxt5"))
+    return rows.select("doc_id", pixels.block_digests("dxt1")(c, F.lit(64), F.col("rows1") * 4).alias("dxt1"), pixels.block_digests("dxt3")(c, F.lit(64), height3).alias("dxt3"), pixels.block_digests("dxt5")(c, F.lit(64), height3).alias("dxt5"))
 
 
 @query("""WITH k AS (SELECT c_custkey, (c_custkey * 37) % 8192 - 4096 AS x, (c_custkey * 101) % 8192 - 4096 AS y FROM customer)

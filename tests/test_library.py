@@ -323,6 +323,16 @@ def test_conflicts_of_copies_are_not_gathered_by_pair(spark):
     assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
 
 
+def test_block_digests_are_those_of_the_decoded_images(spark):
+    data = random.Random(3).randbytes(512)
+    df = spark.createDataFrame([(bytearray(data), 16, 16), (bytearray(data), 13, 7), (bytearray(b"short"), 16, 16), (None, 4, 4)], "c binary, w int, h int")
+    for kind in ("dxt1", "dxt3", "dxt5"):
+        rows = df.select(pixels.block_digests(kind)("c", "w", "h"), F.sha2(pixels.decode_blocks(kind)("c", "w", "h"), 256)).collect()
+        assert [r[0] for r in rows] == [r[1] for r in rows] and rows[0][0] and rows[2][0] is None
+    plan = registry.QUERIES["block_textures"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "decode(" not in plan and "sha2" not in plan  # no decoded image leaves a worker
+
+
 def test_golden_rows_that_are_missing(spark):
     expected, actual = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id long, v string"), spark.createDataFrame([(2, "c"), (3, None), (4, "d")], "id long, v string")
     got = {r.id: (r.status, r.fields) for r in catalog.compare_golden(expected, actual, "id", ["v"]).collect()}
