@@ -326,9 +326,9 @@ def cyclic_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", F.crc32("content").alias("crc32"), codecs.bytes_udf(codecs.crc32_mpeg2, "long")("content").alias("crc32_mpeg2"), codecs.bytes_udf(codecs.crc16_ibm, "long")("content").alias("crc16"))
 
 
-def _round_trip(encode, decode):
+def _round_trip(encode, decode, together: bool = False):
     def query_(spark: SparkSession, sf_dir: str) -> DataFrame:
-        packed = documents(spark, sf_dir).select("doc_id", codecs.bytes_udf(encode)("content").alias("packed"), F.octet_length("content").alias("n"))
+        packed = documents(spark, sf_dir).select("doc_id", codecs.bytes_udf(encode, together=together)("content").alias("packed"), F.octet_length("content").alias("n"))
         back = packed.select("doc_id", codecs.bytes_udf(decode)("packed").alias("back"))
         return back.select("doc_id", F.octet_length("back").cast("long").alias("n"), F.sha2("back", 256).alias("sha256"))
 
@@ -359,8 +359,15 @@ def _lzma(data: bytes) -> bytes:
     return lzma.compress(data, format=lzma.FORMAT_ALONE, preset=1)
 
 
-def _lzss(data: bytes) -> bytes:
-    return len(data).to_bytes(4, "little") + codecs.lzss_encode(data)
+def _lzss(values):
+    sizes = []
+
+    def noted(v: bytes) -> bytes:
+        sizes.append(len(v).to_bytes(4, "little"))
+        return v
+
+    for k, packed in enumerate(codecs.lzss_encode_all(map(noted, values))):
+        yield sizes[k] + packed
 
 
 _ROUND_TRIPS = {
@@ -368,7 +375,7 @@ _ROUND_TRIPS = {
     "zlib_stored": (codecs.zlib_stored, lambda d: _first(codecs.inflate(d, 15))),
     "gzip": (_gzip, lambda d: _first(codecs.inflate(d, 31))),
     "lzma_alone": (_lzma, codecs.lzma_alone),
-    "lzss": (_lzss, lambda d: codecs.lzss_decode(d[4:], int.from_bytes(d[:4], "little"), strict=True)),
+    "lzss": (_lzss, lambda d: codecs.lzss_decode(d[4:], int.from_bytes(d[:4], "little"), strict=True), True),
 }
 for _name, _pair in _ROUND_TRIPS.items():
     QUERIES[f"round_trip_{_name}"] = _round_trip(*_pair)

@@ -333,6 +333,19 @@ def test_block_digests_are_those_of_the_decoded_images(spark):
     assert "decode(" not in plan and "sha2" not in plan  # no decoded image leaves a worker
 
 
+def test_lzss_of_many_values_is_that_of_each_and_quick():
+    rnd = random.Random(9)
+    values = [b"", b"ab", b"aaaa" * 900, *(bytes(rnd.choices(b"abc ", k=rnd.randint(0, 900))) for _ in range(40)), b""]
+    for msb in (False, True):
+        packed = list(codecs.lzss_encode_all(values, msb, 5000))
+        assert packed == [codecs.lzss_encode(v, msb) for v in values]
+        assert [codecs.lzss_decode(p, len(v), msb, strict=True) for p, v in zip(packed, values)] == values
+    prose = b" ".join(rnd.choices([rnd.randbytes(rnd.randint(2, 9)) for _ in range(2000)], k=250_000))
+    began = time.process_time()
+    assert codecs.lzss_decode(codecs.lzss_encode(prose), len(prose), strict=True) == prose
+    assert time.process_time() - began < 1.2e-6 * len(prose)
+
+
 def test_golden_rows_that_are_missing(spark):
     expected, actual = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id long, v string"), spark.createDataFrame([(2, "c"), (3, None), (4, "d")], "id long, v string")
     got = {r.id: (r.status, r.fields) for r in catalog.compare_golden(expected, actual, "id", ["v"]).collect()}
