@@ -131,7 +131,7 @@ def array_bytes(values: Column, width: int, signed: bool = False, big: bool = Fa
         packed = F.transform(values, lambda v: F.hex(one(v, width, big)))
     else:
         packed = F.transform(values, lambda v: _uint_hex(v, width, big))
-    return let(packed, lambda p: F.when(~F.exists(p, lambda x: x.isNull()), F.unhex(F.array_join(p, ""))))
+    return F.unhex(F.array_join(packed, "", "?"))  # NULL for what is no digit
 
 
 def splice(c: Column, offset, replacement: Column) -> Column:

@@ -17,14 +17,17 @@ from bytelode.functions.binary import let, word_at, words_at, zeros
 _RANGES = "array<struct<start: bigint, length: bigint>>"
 
 
-def _judged(checks: list[tuple[str, Column, Column | None]], ranges: Column) -> Column:
-    """The first of (name, broken, index) that holds, else ``ok`` and the ranges."""
-    none = F.lit(None).cast("int")
-    found = F.struct(F.lit("ok").alias("status"), none.alias("at"))
+def _judged(checks: list[tuple[str, Column, Column | None]], otherwise: Column) -> Column:
+    """The first of (name, broken, index) that holds, without ranges, else what comes otherwise, which is not worked out before."""
+    none, found = F.lit(None).cast("int"), otherwise
     for name, broken, index in reversed(checks):
-        one = F.struct(F.lit(name).alias("status"), (none if index is None else index.cast("int")).alias("at"))
+        one = F.struct(F.lit(name).alias("status"), (none if index is None else index.cast("int")).alias("at"), F.lit(None).cast(_RANGES).alias("ranges"))
         found = F.when(F.coalesce(broken, F.lit(False)), one).otherwise(found)
-    return let(found, lambda f: F.struct(f["status"].alias("status"), f["at"].alias("at"), F.when(f["status"] == "ok", ranges).cast(_RANGES).alias("ranges")))
+    return found
+
+
+def _ok(ranges: Column) -> Column:
+    return F.struct(F.lit("ok").alias("status"), F.lit(None).cast("int").alias("at"), ranges.cast(_RANGES).alias("ranges"))
 
 
 def _first(values: Column, bad) -> Column:
@@ -34,9 +37,9 @@ def _first(values: Column, bad) -> Column:
 
 
 def _between(bounds: Column) -> Column:
-    """Ranges between neighbours of an array."""
-    n = F.greatest(F.size(bounds) - 1, F.lit(0))
-    return F.when(n >= 1, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.get(bounds, i).alias("start"), (F.get(bounds, i + 1) - F.get(bounds, i)).alias("length"))))
+    """Ranges between neighbours of an array; NULL for fewer than two bounds."""
+    starts = F.slice(bounds, F.lit(1), F.size(bounds) - 1)
+    return F.when(F.size(bounds) >= 2, F.transform(starts, lambda x, i: F.struct(x.alias("start"), (F.get(bounds, i + 1) - x).alias("length"))))
 
 
 def counted_boundaries(content: Column, members: Column, alignment: int, source_length: Column | None = None, resident: bool = True) -> Column:
@@ -53,13 +56,13 @@ def counted_boundaries(content: Column, members: Column, alignment: int, source_
         boundary = _first(words, lambda x, i: (x % alignment != 0) | (x > source))
         order = _first(words, lambda x, i: (i > 0) & (x <= F.get(words, i - 1)))
         first, last = F.get(words, F.lit(0)), F.get(words, members)
-        checks = [("truncated", F.octet_length(content) < directory, None), ("boundary", boundary.isNotNull(), boundary), ("closure", (first < directory) | (last != source), None)]
+        checks = [("boundary", boundary.isNotNull(), boundary), ("closure", (first < directory) | (last != source), None)]
         if resident:
             gap = (first - directory).cast("int")
             checks.append(("closure", F.substring(content, (directory + 1).cast("int"), gap) != zeros(gap), None))
-        return _judged([*checks, ("order", order.isNotNull(), order)], _between(words))
+        return _judged([*checks, ("order", order.isNotNull(), order)], _ok(_between(words)))
 
-    return let(words_at(content, F.lit(4), F.when(F.octet_length(content) >= directory, members + 1).otherwise(0)), judged)
+    return _judged([("truncated", F.octet_length(content) < directory, None)], let(words_at(content, F.lit(4), F.when(F.octet_length(content) >= directory, members + 1).otherwise(0)), judged))
 
 
 def first_word_offsets(content: Column, source_length: Column, ceiling: int) -> Column:
@@ -74,9 +77,9 @@ def first_word_offsets(content: Column, source_length: Column, ceiling: int) ->
 
         def checked(words: Column) -> Column:
             bad = _first(words, lambda x, i: (i > 0) & ((x <= F.get(words, i - 1)) | (x >= source_length)))
-            return _judged([*faults, ("offset", bad.isNotNull(), bad)], _between(F.concat(words, F.array(source_length.cast("long")))))
+            return _judged([("offset", bad.isNotNull(), bad)], _ok(_between(F.concat(words, F.array(source_length.cast("long"))))))
 
-        return let(words_at(content, F.lit(0), _count(faults, size)), checked)
+        return _judged(faults, let(words_at(content, F.lit(0), F.shiftright(size, 2).cast("int")), checked))
 
     return let(word_at(content, F.lit(0)), judged)
 
@@ -93,21 +96,13 @@ def terminal_offsets(content: Column, source_length: Column, ceiling: int) -> Co
 
         def checked(words: Column) -> Column:
             bad = _first(words, lambda x, i: (i > 0) & ((x % 4 != 0) | (x < size) | (x > source_length) | (x < F.get(words, i - 1))))
-            return _judged([*faults, ("offset", bad.isNotNull(), bad), ("terminal", F.element_at(words, -1) != source_length, None)], _between(words))
+            return _judged([("offset", bad.isNotNull(), bad), ("terminal", F.element_at(words, -1) != source_length, None)], _ok(_between(words)))
 
-        return let(words_at(content, F.lit(0), _count(faults, size)), checked)
+        return _judged(faults, let(words_at(content, F.lit(0), F.shiftright(size, 2).cast("int")), checked))
 
     return let(word_at(content, F.lit(0)), judged)
 
 
-def _count(faults: list, size: Column) -> Column:
-    """The words of a table without these faults, else none, so that no array is longer than a valid table."""
-    broken = F.lit(False)
-    for _, fault, _ in faults:
-        broken = broken | F.coalesce(fault, F.lit(False))
-    return F.when(~broken, (size / 4).cast("int")).otherwise(0)
-
-
 def offset_length_rows(content: Column, start: int, count: int, stride: int, offset_at: int, length_at: int, big: bool = False) -> Column:
     """``count`` rows of a fixed stride as an array of (start, length); NULL unless all rows are there. No order is asked."""
     if stride < 4 or max(offset_at, length_at) > stride - 4 or abs(offset_at - length_at) < 4:

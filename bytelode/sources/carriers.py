@@ -22,10 +22,21 @@ def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(group_id, idx, size)``: the quantities of each order in a total order of its lines, as line numbers repeat.
 
     Lines that are equal up to their quantity have the same size, so further columns cannot change a row.
+    Orders have their name before the window, so that a later step by ``group_id`` finds them together.
     """
-    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
-    w = Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
-    return line.select(F.col("l_orderkey").alias("group_id"), F.row_number().over(w).alias("idx"), F.col("l_quantity").cast("long").alias("size"))
+    line = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("group_id"), "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
+    w = Window.partitionBy("group_id").orderBy("l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
+    return line.select("group_id", F.row_number().over(w).alias("idx"), F.col("l_quantity").cast("long").alias("size"))
+
+
+def size_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(group_id, z, n)``: the quantities of each order as one array, in the order of ``sizes``, and how many they are.
+
+    Lines come together once and are put in order within their array, without a window over them.
+    """
+    line = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("group_id"), F.struct("l_partkey", "l_suppkey", "l_linenumber", "l_quantity").alias("line"))
+    by = line.repartition("group_id").groupBy("group_id").agg(F.array_sort(F.collect_list("line")).alias("lines"), F.count("*").alias("n"))
+    return by.select("group_id", F.col("lines.l_quantity").cast("array<bigint>").alias("z"), "n")
 
 
 def files(spark: SparkSession, folder: str, extension: str, recursive: bool = False) -> DataFrame:

@@ -264,6 +264,28 @@ def test_tables_read_their_words_once(spark):
         assert plan.count("conv(") <= 2, name  # the size word and the words
 
 
+def test_sizes_of_an_order_come_together_once(spark):
+    sf = "/root/testdata/sf0.001"
+    for name in ("terminal_offsets", "counted_boundaries", "budget_admission"):
+        plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1, name
+    listed = {r.group_id: (list(r.z), r.n) for r in carriers.size_lists(spark, sf).collect()}
+    by = {}
+    for r in carriers.sizes(spark, sf).orderBy("group_id", "idx").collect():
+        by.setdefault(r.group_id, []).append(r.size)
+    assert listed == {g: (z, len(z)) for g, z in by.items()} and max(map(len, by.values())) > 7
+
+
+def test_a_table_without_content_has_no_ranges(spark):
+    df = spark.createDataFrame([(None, 1), (bytearray(b""), 1)], "c binary, n int")
+    counted = df.select(tables.counted_boundaries(F.col("c"), F.col("n"), 4).alias("r")).collect()
+    assert [(r.r.status, r.r.ranges) for r in counted] == [("ok", None), ("truncated", None)]
+    for of in (tables.first_word_offsets, tables.terminal_offsets):
+        assert [(r.r.status, r.r.at, r.r.ranges) for r in df.select(of(F.col("c"), F.lit(9), 16).alias("r")).collect()] == [("truncated", None, None)] * 2
+    packed = spark.createDataFrame([([1, 2],), ([1, None],), ([1 << 32],), ([],), (None,)], "v array<long>").select(F.hex(binary.array_bytes(F.col("v"), 4)).alias("h"), F.hex(binary.array_bytes(F.col("v"), 2, True)).alias("s")).collect()
+    assert [tuple(r) for r in packed] == [("0100000002000000", "01000200"), (None, None), (None, None), ("", ""), (None, None)]
+
+
 def test_words_and_their_bytes_at_the_limits(spark):
     values = [0, 1, 255, 256, (1 << 24) - 1, (1 << 32) - 1, 1 << 32, -1, (1 << 56) - 1, None]
     df = spark.createDataFrame([(v,) for v in values], "v long")
